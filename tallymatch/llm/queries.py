@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import extract_text
 from .jaccard import jaccard_classes
+from .language import identify
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .order_minhash import fingerprints
 from .pieces import encode_documents
+from .toxicity import score_toxicity
 from .urls import judge_urls, rules_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +48,20 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, read(spark, sf_dir, "labels")).drop("text")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, learn=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 

@@ -1,0 +1,49 @@
+import random
+
+import numpy as np
+from tallymatch.llm import queries
+from tallymatch.llm.toxicity import features, fit, score_toxicity
+
+
+def test_held_out_accuracy(spark, sf):
+    """Fit on documents with even ids, judge those with odd ids, where some are toxic in every language: a fit on 2,000 documents."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    docs, labels = queries.read(spark, sf, "documents"), queries.read(spark, sf, "labels")
+    rest = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 2 = 1").collect()}
+    got = score_toxicity(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "toxic").collect()
+    assert len(got) == docs.count()
+    found = [rest[r["doc_id"]] for r in got if r["toxic"] and r["doc_id"] in rest]
+    assert sum(found) >= 0.85 * sum(rest.values())
+    assert len(found) - sum(found) <= 0.01 * len(rest)
+
+
+def test_grades_share_weights_in_order():
+    rng = random.Random(5)
+    filler = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for k in range(900):
+        words = [rng.choice(filler) for _ in range(40)] + rng.sample(["bad", "worse", "worst"], k % 5 % 4)
+        rows.append((np.sort(np.fromiter(features(" ".join(words)), np.int64)), int(k % 5 % 4 > 0)))
+    model = fit(rows)
+    clean, one, three = (model.severity(" ".join([*filler, x]))[0] for x in ("", "bad", "bad worse worst"))
+    assert clean < 0.3 < 0.7 < one < 1.3 < three <= 2
+    assert all(a >= b for x in ("", "bad", "worse") for a, b in [model.severity(x)[1]])
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+
+
+def test_defined_cases(spark):
+    docs = spark.createDataFrame([(1, None, 9), (1, "", 9), (None, "x y", 9), (2, "bad " * 50_000, 9)], "doc_id long, text string, severity int")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = score_toxicity(docs, none)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "severity", "grade", "toxic"])
+    rows = got.collect()
+    assert len(rows) == 4 and not any(r["toxic"] for r in rows)
+    one = spark.createDataFrame([(2, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
+    assert not any(r["toxic"] for r in score_toxicity(docs, one).collect())
+    assert score_toxicity(docs.limit(0), one).collect() == []
+
+
+def test_query_has_every_document(spark, sf):
+    got = queries.op5_toxicity(spark, sf)
+    assert got.columns == ["doc_id", "severity", "grade", "toxic"]
+    assert got.count() == queries.read(spark, sf, "documents").count()
