@@ -17,6 +17,7 @@ from .order_minhash import fingerprints
 from .pieces import encode_documents
 from .toxicity import score_toxicity
 from .urls import judge_urls, rules_table
+from .vectors import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,10 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) =
 """
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
