@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import columns, running_sums, table
+from .common import columns, running_sums, small, table
 from .shingles import mix
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -178,5 +178,6 @@ def mix_documents(documents: DataFrame, **options) -> DataFrame:
     mixed = mix_sources(documents, **options).groupBy("doc_id", "text_hash").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     mixed = mixed.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     times = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(1).cast("int")
-    joined = documents.join(mixed, documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__hash"))).withColumn("__times", times).where("__times > 0")
+    taken = table(mixed.withColumn("__times", times).where("__times > 0").select("__id", "__hash", "__times"), "taken")
+    joined = documents.join(small(taken), documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__hash")))
     return joined.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[documents[c] for c in documents.columns])
