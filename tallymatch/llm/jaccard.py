@@ -3,7 +3,7 @@
 1. One pass over the texts gives each document the size and a 128-bit key of its set of n-word shingles, and counts shingles
    in a fixed number of hash cells over all documents. Documents with equal sets become one class.
 2. Shingles are ordered by the count of their cell (rare first). A pair that reaches the threshold shares a shingle among the
-   first |x| - ceil(t |x|) + 1 of each, so only these incidences are shuffled into column blocks, and columns of one are dropped.
+   first |x| - ceil(t |x|) + 1 of each, so only these incidences are shuffled into column blocks, and rows that can reach it with no other row of their column go.
 3. In each block of columns, pairs must pass bounds derived from the sizes: the size ratio, the overlap still possible from
    the position of the shared shingle, and the number of cells in which parity bitmaps of both whole sets differ (at most
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
@@ -32,6 +32,8 @@ CELLS, CHUNKS = 1 << 18, 64
 BITS = 1024
 #: Pivots that each member of a column meets in the first round.
 PIVOTS = 4
+#: Rows of the widest columns whose rows are compared by size and position before parity bitmaps are attached.
+WIDE = 16
 #: Partners of one pivot that a task streams at most.
 PARTNERS = 2048
 
@@ -128,12 +130,29 @@ def _columns(t: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
         yield t, starts, np.r_[starts[1:], len(gram)]
 
 
-def _drop_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, starts, ends in _by_column(batches):
-        size = ends - starts
-        for batch in t.filter(pa.array(np.repeat(size > 1, size))).to_batches():
-            if batch.num_rows:
-                yield batch
+def _drop_lone(num: int, den: int):
+    """Drops the rows that no other row of their column can reach the threshold with, by size and position alone.
+
+    Columns up to WIDE rows are compared in full, row by row shifts; of wider ones every row stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in _by_column(batches):
+            size = ends - starts
+            column, wide = np.repeat(np.arange(len(starts)), size), np.repeat(size > WIDE, size)
+            n, pos = t.column("n").to_numpy(), t.column("pos").to_numpy()
+            keep = wide.copy()
+            for k in range(1, min(WIDE, int(size.max()))):
+                x = np.flatnonzero((column[k:] == column[:-k]) & ~wide[k:])
+                a, b = n[x], n[x + k]
+                need = _needed(num, den, a, b)
+                x = x[(np.minimum(a - pos[x], b - pos[x + k]) >= need) & (np.minimum(a, b) >= need)]
+                keep[x] = keep[x + k] = True
+            for batch in t.filter(pa.array(keep)).to_batches():
+                if batch.num_rows:
+                    yield batch
+
+    return run
 
 
 _PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64())])
@@ -152,7 +171,7 @@ def _candidates(num: int, den: int, pivots: int | None):
             def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 a, b = n[x], n[y]  # noqa: B023
                 need = _needed(num, den, a, b)
-                ok = (label[x] != label[y]) & (1 + np.minimum(a - pos[x], b - pos[y]) - 1 >= need) & (np.minimum(a, b) >= need)  # noqa: B023
+                ok = (label[x] != label[y]) & (np.minimum(a - pos[x], b - pos[y]) >= need) & (np.minimum(a, b) >= need)  # noqa: B023
                 x, y, least = x[ok], y[ok], (a + b - 2 * need)[ok]
                 ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= least  # noqa: B023
                 return x[ok], y[ok]
@@ -264,7 +283,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     prefix = table(prefix.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), "prefix")
     rows = prefix.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.col("n_rep").alias("n"), F.posexplode("grams").alias("pos", "gram"))
     rows = rows.select("gram", F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos")).repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    shared = table(rows.mapInArrow(_drop_single, "gram long, doc long, n long, pos long"), "columns")
+    shared = table(rows.mapInArrow(_drop_lone(num, den), "gram long, doc long, n long, pos long"), "columns")
     parity = prefix.select(F.col("doc_id").alias("id"), "parity")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
