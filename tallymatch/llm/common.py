@@ -50,7 +50,7 @@ def add(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def running_sums(df: DataFrame, group: list[str], key: Column, values: list[str], rows_per_bucket: int = 50_000) -> DataFrame:
+def running_sums(df: DataFrame, group: list[str], key: Column, values: list[str], rows_per_bucket: int = 4096) -> DataFrame:
     """df with, for each of values, the column before_<value>: the sum over the rows that precede in the group.
 
     The order in a group is by bucket of key's hash, then key. Buckets are numbered by their own sums first, so no window
