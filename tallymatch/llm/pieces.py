@@ -14,17 +14,19 @@ import hashlib
 import heapq
 import itertools
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks that a task remembers.
-CACHE = 400_000
+#: Chunks that a worker remembers, in each of two generations.
+CACHE = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -82,14 +84,15 @@ class Pieces:
             raise ValueError("a piece crosses a space")
         inner = {c for p in self.long for c in p}
         self.cut = "\n" if "\n" not in inner else None
-        tokens = [p for p in self.long if SPACE * 2 not in p]
-        self.auto = ahocorasick.Automaton()
-        for p in tokens:
-            self.auto.add_word(p, p)
-        self.auto.make_automaton()
         self.halves: dict[str, tuple[str, str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[tuple[int, ...], str, bool]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bool]] = {}
+        self.auto = ahocorasick.Automaton()
+        for p in self.long:
+            if SPACE * 2 not in p and self._split(p)[0]:  # others are never the last token of anything
+                self.auto.add_word(p, p)
+        self.auto.make_automaton()
         self.runs: dict[int, tuple[int, ...]] = {}
         self.text = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" \u2047 " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -125,13 +128,10 @@ class Pieces:
             self.halves[token] = merges[-1] if len(symbols) == 1 and merges else ("", "")
         return self.halves[token]
 
-    def _reachable(self, token: str) -> bool:
-        return len(token) == 1 or self._split(token)[0] != ""
-
-    def _compatible(self, left: str, right: str) -> bool:
+    def _compatible(self, key: tuple[str, str]) -> bool:
         """Whether BPE over the two tokens leaves their border alone: undo their merges, latest first, and look across."""
-        key = left, right
         if key not in self.fits:
+            left, right = key
             limit, first, ok = float("-inf"), False, True
             while ok:
                 # a pair across merges if it scores higher than what merges next, or as high and stands further left
@@ -151,18 +151,23 @@ class Pieces:
 
     def encode_chunk(self, chunk: str) -> list[str]:
         """Tokens of a chunk (at most one U+2581, at its start) by the prefix table."""
-        ending: list[list[str]] = [[c] for c in chunk]
-        for end, token in self.auto.iter(chunk):
+        ending: list[list[str]] = [[] for _ in chunk]
+        for end, token in self.auto.iter(chunk):  # longest first for each end
             ending[end].append(token)
         last: list[str] = []
+        fits, compatible = self.fits.get, self._compatible
         for i, tokens in enumerate(ending):
-            for token in sorted(tokens, key=len, reverse=True):
+            for token in tokens:
                 at = i - len(token)
-                if self._reachable(token) and (at < 0 or self._compatible(last[at], token)):
+                if at < 0:
                     last.append(token)
                     break
-            else:
-                raise AssertionError(f"no last token for a prefix of {chunk[: i + 1]!r}")
+                ok = fits(key := (last[at], token))
+                if ok or ok is None and compatible(key):
+                    last.append(token)
+                    break
+            else:  # a character on its own fits where nothing longer does
+                last.append(chunk[i])
         out, i = [], len(chunk) - 1
         while i >= 0:
             out.append(last[i])
@@ -176,13 +181,16 @@ class Pieces:
 
     def _word(self, word: str) -> tuple[tuple[int, ...], str, bool]:
         """Of U+2581 and a word without it: the ids without a leading lone U+2581, as text too, and whether there was one."""
+        if len(self.cache) >= CACHE:
+            self.cache, self.older = {}, self.cache
+        if word in self.older:
+            found = self.cache[word] = self.older[word]
+            return found
         tokens: list[str] = []
         for k, part in enumerate(word.split(self.cut) if self.cut else [word]):
             tokens += [self.cut] * (k > 0) + (self.encode_chunk(part if k else SPACE + part) if part or not k else [])
         lone = tokens[0] == SPACE
         ids = tuple(i for t in tokens[lone:] for i in self._id(t))
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
         found = self.cache[word] = ids, " ".join(map(str, ids)), lone
         return found
 
@@ -202,11 +210,11 @@ class Pieces:
             return [], ""
         ids: list[tuple[int, ...]] = []
         shown: list[str] = []
-        run, cache = 0, self.cache
+        run = 0
         for word in text.replace(SPACE, " ").split(" "):
             run += 1
             if word:
-                own, name, lone = cache.get(word) or self._word(word)
+                own, name, lone = self.cache.get(word) or self._word(word)
                 if run > 1 or lone:
                     if run := run - (not lone):
                         ids.append(spaces := self._run(run))
@@ -230,14 +238,16 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def _encode(model, where: int):
-    held: dict[str, Pieces] = {}
+_models: dict[str, Pieces] = {}
+
 
+def _encode(model, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.setdefault("model", Pieces(model.value))
+        name = hashlib.sha256(model.value).hexdigest()
+        own = _models.get(name) or _models.setdefault(name, Pieces(model.value))  # kept for a worker's next tasks
         for batch in batches:
-            counts, hashes, texts, all_ids = [], [], [], []
-            for text in batch.column(where).to_pylist():
+            counts, hashes, texts, all_ids, ends = [], [], [], array("i"), [0]
+            for text in batch.column("text").to_pylist():
                 ids, shown = own.encode(text)
                 flat = list(itertools.chain.from_iterable(ids))
                 decoded = own.decode(flat)
@@ -246,12 +256,15 @@ def _encode(model, where: int):
                 counts.append(len(flat))
                 hashes.append(hashlib.sha256(shown.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                all_ids.append(flat)
-            cols = [c for k, c in enumerate(batch.columns) if k != where]
-            names = [c for k, c in enumerate(batch.schema.names) if k != where]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(hashes), pa.array(texts), *([pa.array(all_ids, pa.list_(pa.int32()))] if held.get("ids") else [])], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if held.get("ids") else [])])
+                if with_ids:
+                    all_ids.extend(flat)
+                    ends.append(len(all_ids))
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(all_ids, np.int32) if all_ids else [], pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
-    return run, held
+    return run
 
 
 def encode_documents(documents: DataFrame, model_path: str, ids: bool = False) -> DataFrame:
@@ -263,7 +276,5 @@ def encode_documents(documents: DataFrame, model_path: str, ids: bool = False) -
     """
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())
-    run, held = _encode(model, 1)
-    if ids:
-        held["ids"] = True
-    return documents.select("doc_id", "text").mapInArrow(run, documents.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    kinds = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")} | ({"ids": F.array().cast("array<int>")} if ids else {})
+    return documents.select("doc_id", "text").mapInArrow(_encode(model, ids), documents.select("doc_id").withColumns(kinds).schema)
