@@ -1,0 +1,32 @@
+"""Every registered query against its SQL on the smallest tables, and the contract of the entry module."""
+
+import duckdb
+import pytest
+from tallymatch import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem events".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(Q.queries()))
+def test_query_equals_its_sql(spark, duck, name):
+    df = Q.queries()[name](spark, SF)
+    want = duck.sql(Q.oracle_sql()[name])
+    names = sorted(df.columns)
+    assert names == sorted(want.columns)
+    rows = lambda cols, found: sorted(tuple(r[cols.index(n)] for n in names) for r in found)
+    assert rows(df.columns, map(tuple, df.collect())) == rows(list(want.columns), want.fetchall())
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).columns == ["probe_id", "rule_id", "rule_ord"]
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(Q.queries()) <= set(entry.queries())
