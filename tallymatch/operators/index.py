@@ -26,11 +26,19 @@ def _conform(c: Column, kind: str, to: str) -> Column:
     return c
 
 
+def _spread(probes: DataFrame) -> DataFrame:
+    """Probes in enough partitions to keep every core busy; a table of many files has them already."""
+    cores = probes.sparkSession.sparkContext.defaultParallelism
+    if probes.isStreaming or probes.rdd.getNumPartitions() >= cores:
+        return probes
+    return probes.repartition(2 * cores)
+
+
 class RuleIndex:
     """One row per rule ID and the entries that probes join with. Immutable: it reads the snapshot it was built from."""
 
-    def __init__(self, compiled: Compiled, ids: DataFrame, entries: DataFrame, masks: list[int], keys: list, dropped: frozenset[int], wide: dict[int, DataFrame]):
-        self.compiled, self.ids, self.entries, self.masks, self.keys, self.dropped, self.wide = compiled, ids, entries, masks, keys, dropped, wide
+    def __init__(self, compiled: Compiled, ids: DataFrame, entries: DataFrame, masks: list[int], keys: list, dropped: frozenset[int], wide: dict[int, DataFrame], single: frozenset[int] = frozenset()):
+        self.compiled, self.ids, self.entries, self.masks, self.keys, self.dropped, self.wide, self.single = compiled, ids, entries, masks, keys, dropped, wide, single
         self.size = entries.count()
 
     # -- the probe side ---------------------------------------------------------------------------------------------
@@ -86,7 +94,7 @@ class RuleIndex:
         if taken or any(c.startswith("__") for c in probes.columns):
             raise ValueError(f"probe columns clash with the result's: {sorted(taken) or 'names that start with __'}")
         names = [c for c in probes.columns]
-        asked = self._asked(probes)
+        asked = self._asked(_spread(probes))
         result = [F.col("rule_id").alias(id_name), F.col("rule_ord").alias(ord_name)]
         if dedup and self.compiled.parts:
             reads = [p.q for p in self.compiled.parts]
@@ -99,20 +107,24 @@ class RuleIndex:
     def _pairs(self, asked: DataFrame) -> DataFrame:
         """Probes (with the __q columns) joined with the IDs that match."""
         wide = frozenset(n for n in self.wide if self.compiled.parts[n].kind != "veto")
-        condition = self.compiled.condition(self.dropped, wide)
+        condition = self.compiled.condition(self.dropped, wide, self.single, frozenset(n for n, interval in self.keys if not interval))
         if self.compiled.never or not self.masks:
             return asked.join(self.ids, F.lit(False))
         entries = F.broadcast(self.entries) if self.size <= BROADCAST_ROWS else self.entries
         keyed = self._keyed(asked)
-        out = keyed.join(entries, (F.col("__m") == F.col("__mask")) & (F.col("__h") == F.col("__key")) & condition)
+        out = keyed.join(entries, (F.col("__h") == F.col("__key")) & ((F.col("__m") - F.col("__mask")) == 0) & condition)  # one long key, so a lean hash table
         for _, interval in self.keys:
             if interval:  # a probe whose interval ends before it starts has no bin: it meets the binned IDs one by one
                 a, b, _ = interval
                 odd = asked.where(F.col(f"__q{a}") > F.col(f"__q{b}"))
                 bit = [k for k, (_, i) in enumerate(self.keys) if i == interval][0]
-                binned = self.entries.where(F.col("__mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0).dropDuplicates(["rule_ord"])
+                binned = self.entries.where((F.col("__mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0) & F.col("__main"))
                 met = odd.join(binned, condition)
                 out = out.unionByName(met, allowMissingColumns=True)
+        return self._with_wide(out)
+
+    def _with_wide(self, out: DataFrame) -> DataFrame:
+        """Pairs of probes and IDs that also hold for the sets kept apart."""
         for n, values in self.wide.items():
             p = self.compiled.parts[n]
             values = values.select(F.col("rule_ord").alias("__ord"), F.col("value").alias("__value"))
@@ -151,26 +163,11 @@ class RuleIndex:
     # -- one probe --------------------------------------------------------------------------------------------------
 
     def _matching(self, fields: dict[str, Any]) -> DataFrame:
-        """IDs that match one probe of literal fields: a filter of the IDs, without a join."""
-        spark = self.ids.sparkSession
-        one = spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
-        row = self._asked(one).first() if self.compiled.parts else None
-        kinds = {f.name: f.dataType for f in self._asked(one).schema} if row else {}
-        out = self.ids
-        for p in self.compiled.parts:
-            out = out.withColumn(p.q, F.lit(row[p.q]).cast(kinds[p.q]))
+        """IDs that match one probe of literal fields: one pass over the IDs beside a single row."""
+        one = self.ids.sparkSession.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
         wide = frozenset(n for n in self.wide if self.compiled.parts[n].kind != "veto")
-        out = out.where(self.compiled.condition(self.dropped, wide))
-        for n, values in self.wide.items():
-            p = self.compiled.parts[n]
-            held = values.where(F.col("value") == F.lit(row[p.q]).cast(kinds[p.q])).select(F.col("rule_ord").alias("__ord"))
-            same = F.col("rule_ord") == F.col("__ord")
-            if p.kind == "veto":
-                out = out.join(held, same, "left_anti")
-            else:
-                flag = p.condition() | ~F.col(f"{p.r}_wide")
-                out = out.where(flag).unionByName(out.where(~flag).join(held, same, "left_semi"))
-        return out.select("rule_id", "rule_ord").orderBy("rule_ord")
+        met = self.ids.join(F.broadcast(self._asked(one)), self.compiled.condition(self.dropped, wide))
+        return self._with_wide(met).select("rule_id", "rule_ord").orderBy("rule_ord")
 
     def search(self, **fields: Any) -> list:
         """IDs that match one probe, in insertion order; fields not given are missing."""

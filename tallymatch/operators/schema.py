@@ -102,7 +102,10 @@ class RuleSchema:
         for a, b in self.compiled.intervals:
             if is_number(ids, f"r{a}_end") and is_number(ids, f"r{b}_end"):
                 facts.append(F.percentile_approx(F.when(~F.col(f"r{a}_any") & ~F.col(f"r{b}_any"), number(ids, f"r{b}_end") - number(ids, f"r{a}_end")), 0.5).alias(f"width{a}"))
+        sets = [p.n for p in parts if p.kind in ("set", "veto", "compare")]
+        facts += [F.max(F.size(f"r{n}_set")).alias(f"most{n}") for n in sets]
         seen = ids.agg(*facts).first()
+        single = frozenset(n for n in sets if (seen[f"most{n}"] or 0) <= 1 and n not in wide)
         dropped = frozenset(p.n for p in parts if p.kind != "presence" and not seen[f"strict{p.n}"] and p.n not in wide)
 
         keys = []
@@ -122,7 +125,11 @@ class RuleSchema:
             keys = keys[: len(keys) // 2]
         few = max(k for k in range(len(keys) + 1) if len({m & ((1 << k) - 1) for m in found}) <= MASKS)
         keys, masks = keys[:few], sorted({m & ((1 << few) - 1) for m in found})
-        return RuleIndex(self.compiled, ids, snapshot(self._masked(ids, keys), "entries"), masks, keys, dropped, wide)
+        # entries carry what conditions read: one value instead of a set where no ID has more, nothing of dropped leaves
+        entries = self._masked(ids, keys).withColumns({f"r{n}_one": F.get(f"r{n}_set", F.lit(0)) for n in single})
+        unread = [c for c in ids.columns if c.split("_")[0][1:].isdigit() and int(c.split("_")[0][1:]) in dropped]
+        entries = entries.drop(*[f"r{n}_set" for n in single], *unread, *[f"r{n}_one" for n in dropped])
+        return RuleIndex(self.compiled, ids, snapshot(entries, "entries"), masks, keys, dropped, wide, single)
 
     def _masks(self, ids: DataFrame, keys: list[tuple[int, tuple[int, int, float] | None]]) -> DataFrame:
         """Each ID with the mask of keys that it has: all of one value, and the first of several values."""
@@ -145,7 +152,7 @@ class RuleSchema:
 
     def _masked(self, ids: DataFrame, keys: list[tuple[int, tuple[int, int, float] | None]]) -> DataFrame:
         """Each ID once for each combination of values that a probe could meet it with, and their hash."""
-        out = self._masks(ids, keys)
+        out = self._masks(ids, keys).withColumn("__main", F.lit(True))
         for bit, (n, interval) in enumerate(keys):
             has = F.col("__mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0
             if interval:
@@ -154,6 +161,8 @@ class RuleSchema:
             else:
                 values = F.col(f"r{n}_set")
             out = out.withColumn(f"__k{bit}", F.explode_outer(F.when(has, values)))
+            if interval:  # one entry of an ID stands for it where bins do not count
+                out = out.withColumn("__main", F.coalesce(F.col(f"__k{bit}") == F.floor(number(ids, f"r{interval[0]}_end") / interval[2]), F.lit(True)))
         key = F.xxhash64("__mask", *[F.col(f"__k{bit}") for bit in range(len(keys))])
         return out.withColumn("__key", key).drop(*[f"__k{bit}" for bit in range(len(keys))])
 

@@ -70,19 +70,21 @@ class Part:
             f"{r}_gt": F.min(of(Operator.GT)), f"{r}_gte": F.min(of(Operator.GTE)), f"{r}_ne": F.min(of(Operator.NE)), f"{r}_nf": F.max(of(Operator.NE)),
         }
 
-    def condition(self, wide: bool = False) -> Column:
-        """Whether the leaf holds for an ID and a probe; with wide, IDs whose set is kept apart pass here."""
+    def condition(self, wide: bool = False, single: bool = False) -> Column:
+        """Whether the leaf holds for an ID and a probe; with wide, IDs whose set is kept apart pass here; with single, sets are one value."""
         r, q = self.r, F.col(self.q)
         if self.kind == "presence":
             return q.isNotNull() if self.present else q.isNull()
+        if self.kind != "order":
+            held = (q == F.col(f"{r}_one")) if single else F.array_contains(f"{r}_set", q)
         if self.kind == "veto":
-            return ~_sure(F.array_contains(f"{r}_set", q))
+            return ~_sure(held)
         if self.kind == "set":
-            found = F.col(f"{r}_any") | _sure(F.array_contains(f"{r}_set", q))
+            found = F.col(f"{r}_any") | _sure(held)
             return found | F.col(f"{r}_wide") if wide else found
         if self.kind == "order":
             return F.col(f"{r}_any") | _sure(_holds(self.op, q, F.col(f"{r}_end")))
-        tests = [F.array_contains(f"{r}_set", q), q < F.col(f"{r}_lt"), q <= F.col(f"{r}_lte"), q > F.col(f"{r}_gt"), q >= F.col(f"{r}_gte"), (q != F.col(f"{r}_ne")) | (q != F.col(f"{r}_nf"))]
+        tests = [held, q < F.col(f"{r}_lt"), q <= F.col(f"{r}_lte"), q > F.col(f"{r}_gt"), q >= F.col(f"{r}_gte"), (q != F.col(f"{r}_ne")) | (q != F.col(f"{r}_nf"))]
         found = reduce(lambda a, b: a | b, [F.col(f"{r}_any"), *map(_sure, tests)])
         return found | F.col(f"{r}_wide") if wide else found
 
@@ -95,20 +97,31 @@ class Compiled:
     never: bool
     intervals: list[tuple[int, int]]  # parts of a Between's two ends, where both must hold
 
-    def condition(self, dropped: frozenset[int] = frozenset(), wide: frozenset[int] = frozenset()) -> Column:
-        """Whether an ID's row matches a probe; parts in dropped hold for every ID."""
+    def condition(self, dropped: frozenset[int] = frozenset(), wide: frozenset[int] = frozenset(), single: frozenset[int] = frozenset(), last: frozenset[int] = frozenset()) -> Column:
+        """Whether an ID's row matches a probe; parts in dropped hold for every ID.
+
+        Nested Alls are one conjunction. Orders are tested first (cheap), sets and exclusions next, and parts in last, which a
+        join has already looked at, at the end.
+        """
         if self.never:
             return F.lit(False)
+        own = lambda n: F.lit(True) if n in dropped else self.parts[n].condition(n in wide, n in single)
 
         def of(rule: R.Rule) -> Column:
             if isinstance(rule, R.All):
                 return reduce(lambda a, b: a & b, map(of, rule.rules))
             if isinstance(rule, R.AnyOf):
                 return reduce(lambda a, b: a | b, map(of, rule.rules), F.lit(False))
-            own = [F.lit(True) if n in dropped else self.parts[n].condition(n in wide) for n in self.numbers[id(rule)]]
-            return reduce(lambda a, b: a & b, own)
+            return reduce(lambda a, b: a & b, map(own, self.numbers[id(rule)]))
+
+        def terms(rule: R.Rule) -> list[tuple[int, Column]]:
+            if isinstance(rule, R.All):
+                return [t for child in rule.rules for t in terms(child)]
+            if isinstance(rule, R.AnyOf):
+                return [(4, of(rule))]
+            return [(5 if n in last else {"presence": 0, "order": 1, "veto": 2, "compare": 3, "set": 3}[self.parts[n].kind], own(n)) for n in self.numbers[id(rule)] if n not in dropped]
 
-        return of(self.tree)
+        return reduce(lambda a, b: a & b, [c for _, c in sorted(terms(self.tree), key=lambda t: t[0])], F.lit(True))
 
 
 def compile_rules(tree: R.Rule) -> Compiled:

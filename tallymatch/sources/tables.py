@@ -37,7 +37,7 @@ def save_index(index: RuleIndex, path: str) -> None:
     index.entries.write.parquet(f"{path}/entries")
     for n, values in index.wide.items():
         values.write.parquet(f"{path}/values-{n}")
-    about = {"masks": index.masks, "keys": index.keys, "dropped": sorted(index.dropped), "wide": sorted(index.wide)}
+    about = {"masks": index.masks, "keys": index.keys, "dropped": sorted(index.dropped), "wide": sorted(index.wide), "single": sorted(index.single)}
     index.ids.sparkSession.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.text(f"{path}/about")
 
 
@@ -45,4 +45,4 @@ def load_index(spark: SparkSession, schema: RuleSchema, path: str) -> RuleIndex:
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     wide = {n: spark.read.parquet(f"{path}/values-{n}") for n in about["wide"]}
     keys = [(n, tuple(i) if i else None) for n, i in about["keys"]]
-    return RuleIndex(schema.compiled, spark.read.parquet(f"{path}/ids"), spark.read.parquet(f"{path}/entries"), about["masks"], keys, frozenset(about["dropped"]), wide)
+    return RuleIndex(schema.compiled, spark.read.parquet(f"{path}/ids"), spark.read.parquet(f"{path}/entries"), about["masks"], keys, frozenset(about["dropped"]), wide, frozenset(about["single"]))
