@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.getters import Operator
 from ..plans.compile import compile_rules
 from ..plans.rules import Rule
-from ..plans.tables import dense_rank, snapshot
+from ..plans.tables import FEW, dense_rank, snapshot
 from .index import RuleIndex
 
 #: Values of one leaf that an ID keeps in its row; larger sets stay a table of their own.
@@ -39,20 +39,16 @@ class RuleSchema:
         parts = self.compiled.parts
         raw = {name: _widened(rules, c) for p in parts for name, c in p.raw().items()}
         rows = snapshot(rules.select(F.col(id_col).alias("rule_id"), F.col(pos_col).cast("long").alias("pos"), *[c.alias(n) for n, c in raw.items()]), "rules")
-        self._validate(rows)
-
-        most = rows.groupBy("rule_id").count().agg(F.max("count")).first()[0] or 0
+        most = self._validate(rows)
         wide: dict[int, DataFrame] = {}
         if most <= SET_VALUES:
             ids = rows.groupBy("rule_id").agg(F.min("pos").alias("first_pos"), *[c.alias(n) for p in parts for n, c in p.kept().items()])
         else:
             ids, wide = self._large(rows)
-        ids = snapshot(dense_rank(ids, "first_pos", "rule_ord").drop("first_pos"), "ids")
-        for n, values in wide.items():
-            wide[n] = snapshot(values.join(ids.select(F.col("rule_id").alias("__id"), "rule_ord"), F.col("rule_id").eqNullSafe(F.col("__id"))).select("rule_ord", "value"), "values")
-        return self._entries(ids, wide)
+        return self._entries(snapshot(ids, "ids"), wide)
 
-    def _validate(self, rows: DataFrame) -> None:
+    def _validate(self, rows: DataFrame) -> int:
+        """Raise for the first bad row; else the most rows that an ID has. One pass."""
         reasons = []
         for p in self.compiled.parts:
             if p.kind == "compare":
@@ -60,10 +56,13 @@ class RuleSchema:
                 wrong = F.when(F.col(p.r).isNotNull() & op.isNull(), F.lit("CompareBy value without an operator"))
                 reasons.append(wrong.when(F.col(p.r).isNotNull() & ~op.isin([int(o) for o in Operator]), F.concat(F.lit("CompareBy operator "), op.cast("string"), F.lit(" is unknown"))))
         reasons.append(F.when(F.col("pos").isNull(), F.lit("no position")))
-        bad = rows.withColumn("reason", F.coalesce(*reasons)).where("reason is not null").agg(F.min(F.struct("pos", "reason"))).first()[0]
+        reason = F.coalesce(*reasons)
+        groups = rows.withColumn("bad", F.when(reason.isNotNull(), F.struct("pos", reason.alias("reason")))).groupBy("rule_id").agg(F.count("*").alias("n"), F.min("bad").alias("bad"))
+        most, bad = groups.agg(F.max("n"), F.min("bad")).first()
         if bad:
             at = rows.where(F.col("pos") < F.lit(bad["pos"])).count()
             raise InvalidRule(f"entry {at}: {bad['reason']}")
+        return most or 0
 
     def _large(self, rows: DataFrame) -> tuple[DataFrame, dict[int, DataFrame]]:
         """One row per ID where some IDs have many rows: sets are deduplicated and counted before any is gathered."""
@@ -106,6 +105,11 @@ class RuleSchema:
         facts += [F.max(F.size(f"r{n}_set")).alias(f"most{n}") for n in sets]
         seen = ids.agg(*facts).first()
         single = frozenset(n for n in sets if (seen[f"most{n}"] or 0) <= 1 and n not in wide)
+        ids = dense_rank(ids, "first_pos", "rule_ord", seen["ids"]).drop("first_pos")
+        if seen["ids"] > FEW:
+            ids = snapshot(ids, "ids")
+        for n, values in wide.items():
+            wide[n] = snapshot(values.join(ids.select(F.col("rule_id").alias("__id"), "rule_ord"), F.col("rule_id").eqNullSafe(F.col("__id"))).select("rule_ord", "value"), "values")
         dropped = frozenset(p.n for p in parts if p.kind != "presence" and not seen[f"strict{p.n}"] and p.n not in wide)
 
         keys = []

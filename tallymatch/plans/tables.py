@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Index rows that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 250_000
+#: Index rows that may be broadcast; more are shuffled. Rows that one task may rank; more are ranked in buckets.
+BROADCAST_ROWS, FEW = 250_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +30,10 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dense_rank(df: DataFrame, by: str, out: str) -> DataFrame:
-    """df with the dense rank of a column from 0, by quantile buckets: no window spans the table."""
+def dense_rank(df: DataFrame, by: str, out: str, rows: int | None = None) -> DataFrame:
+    """df with the dense rank of a column from 0: by quantile buckets, so that no window spans the table, unless it has few rows."""
+    if rows is not None and rows <= FEW:
+        return df.withColumn(out, (F.dense_rank().over(Window.orderBy(by)) - 1).cast("long"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
     bounds = sorted(set(found or []))
