@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +71,17 @@ def running_sums(df: DataFrame, group: list[str], key: Column, values: list[str]
     joined = df.withColumns({f"__in_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(sums, on, "left")
     keep = [c for c in df.columns if c not in ("__key", "__bucket")]
     return joined.select(*keep, *[(F.col(f"__base_{v}") + F.col(f"__in_{v}")).alias(f"before_{v}") for v in values])
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back to the system when a task ends: idle Python workers share an executor with the next stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, small, table
+from .common import columns, partitions, small, table, thrifty
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import mix, parts, shingle_sets
 
 #: Cells of the shingle counts (a fixed 2 MB to broadcast, whatever the input) and the rows they travel in.
 CELLS, CHUNKS = 1 << 18, 64
@@ -57,7 +57,7 @@ def _profile(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 1)):
             sizes, k1, k2, own = [], [], [], []
             for s in shingle_sets(batch.column(1), n):
                 m = mix(s + _U(0x51ED270B))
@@ -91,7 +91,7 @@ def _prefixes(n: int, num: int, den: int, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 1)):
             grams, parity = [], []
             for s in shingle_sets(batch.column(1), n):
                 keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
@@ -217,10 +217,8 @@ def _sets(n: int):
     schema = pa.schema([("i", pa.int64()), ("salt", pa.int32()), ("j", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
-                yield _rows(schema, [b.column(0), b.column(1), b.column(2), [s.tobytes() for s in shingle_sets(b.column(3), n)]])
+        for batch in (x for whole in batches for x in parts(whole, 3)):
+            yield _rows(schema, [*batch.columns[:3], [s.tobytes() for s in shingle_sets(batch.column(3), n)]])
 
     return run
 
@@ -254,9 +252,9 @@ def _links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Dat
     salted = pairs.select("i", "j", F.pmod(F.xxhash64("j"), F.ceil(F.col("many") / PARTNERS)).cast("int").alias("salt"))
     asked = salted.select(F.col("j").alias("id"), "i", "salt", "j").union(salted.select("i", "salt").distinct().select(F.col("i").alias("id"), "i", "salt", F.lit(None).cast("long")))
     rows = docs.join(small(table(asked, "asked")), F.col("doc_id") == F.col("id")).select("i", "salt", "j", "text")
-    rows = rows.mapInArrow(_sets(n), "i long, salt int, j long, grams binary")
+    rows = rows.mapInArrow(thrifty(_sets(n)), "i long, salt int, j long, grams binary")
     rows = rows.repartition(partitions(spark), "i", "salt").sortWithinPartitions("i", "salt", F.col("j").asc_nulls_first())
-    return rows.mapInArrow(_verify(num, den), "src long, dst long")
+    return rows.mapInArrow(thrifty(_verify(num, den)), "src long, dst long")
 
 
 def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -270,7 +268,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     num, den = threshold
     spark = documents.sparkSession
     docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = table(docs.mapInArrow(_profile(n), "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
+    profile = table(docs.mapInArrow(thrifty(_profile(n)), "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
     cells = np.zeros(CELLS, np.uint64)
     for chunk, counts in profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary").collect():
         cells[chunk * (CELLS // CHUNKS) : (chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(counts, np.uint64)
@@ -279,11 +277,11 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     reps = classes.where("rep is not null").select("rep", F.col("n").alias("n_rep")).dropDuplicates(["rep"])
 
     counts = spark.sparkContext.broadcast(cells)
-    prefix = docs.mapInArrow(_prefixes(n, num, den, counts), "doc_id long, grams array<long>, parity binary")
+    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, grams array<long>, parity binary")
     prefix = table(prefix.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), "prefix")
     rows = prefix.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.col("n_rep").alias("n"), F.posexplode("grams").alias("pos", "gram"))
     rows = rows.select("gram", F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos")).repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    shared = table(rows.mapInArrow(_drop_lone(num, den), "gram long, doc long, n long, pos long"), "columns")
+    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, doc long, n long, pos long"), "columns")
     parity = prefix.select(F.col("doc_id").alias("id"), "parity")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
@@ -293,7 +291,7 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
         else:
             grams = grams.withColumn("label", F.col("doc"))
         grams = grams.select("gram", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-        pairs = table(grams.mapInArrow(_candidates(num, den, pivots), "i long, j long").distinct(), "pairs")
+        pairs = table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
         many = pairs.groupBy(F.col("i").alias("ii")).agg(F.count("*").alias("many"))
         return pairs.join(many, F.col("i") == F.col("ii")).select("i", "j", "many")
 

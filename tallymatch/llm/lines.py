@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .shingles import mix
+from .common import table, thrifty
+from .shingles import mix, parts
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Keys of a shard; keys that may be broadcast (about 30 bytes each); probes of a group.
@@ -150,7 +150,7 @@ def _clean(least: int, docs: int, width: int, where: int, doc_at: int, shards=No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _probe(shards.value, n) if shards is not None else None
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, where)):
             texts = batch.column(where).to_pylist()
             lines = [(t or "").split("\n") for t in texts]
             found = [(i, k, h) for i, own in enumerate(lines) for k, line in enumerate(own) if (h := line_hash(line, least))]
@@ -198,7 +198,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
     spark = documents.sparkSession
     documents = documents.drop("n_lines", "n_dropped")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    counted = docs.mapInArrow(_lines(min_chars, False), "hi long, lo long, doc long").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc").alias("holder"))
+    counted = docs.mapInArrow(thrifty(_lines(min_chars, False)), "hi long, lo long, doc long").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc").alias("holder"))
     frequent = table(counted.where(F.col("n") >= min_docs).withColumn("n", F.least("n", F.lit(2**32 - 1)).cast("long")), "lines")
     keys = frequent.count()
     shards = max(1, -(-keys // SHARD))
@@ -209,7 +209,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
     out = documents.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     if keys <= broadcast_keys:
         held = spark.sparkContext.broadcast([tuple(r) for r in arrays.collect()])
-        return documents.mapInArrow(_clean(min_chars, min_docs, len(names), where, doc_at, held, shards), out)
+        return documents.mapInArrow(thrifty(_clean(min_chars, min_docs, len(names), where, doc_at, held, shards)), out)
     marked = docs.withColumn("mark", F.xxhash64("text"))
     probes = marked.mapInArrow(_lines(min_chars, True), "hi long, lo long, doc long, mark long")
     lines = docs.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n")).first()["n"]
@@ -219,4 +219,4 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
     hits = dealt.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInArrow(_probe_group(min_docs), "doc long, mark long, hi long, lo long")
     hits = hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("hi", "lo")).alias("__gone")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
     joined = documents.join(hits, (F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))) == F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__mark")), "left").drop("__doc", "__mark")
-    return joined.mapInArrow(_clean(min_chars, min_docs, len(names), where, doc_at), out)
+    return joined.mapInArrow(thrifty(_clean(min_chars, min_docs, len(names), where, doc_at)), out)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +48,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 _up, _down = _powers(_BASE, _SEGMENT + 1), _powers(_BACK, _SEGMENT + 1)
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of text (one row at least), to bound what is unpacked at a time."""
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    cuts = np.flatnonzero(np.diff((upto - 1) // size)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, and where each text starts and ends (a null is empty)."""
     texts = texts.cast(pa.large_string())

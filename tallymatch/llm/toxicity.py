@@ -20,8 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+from .shingles import parts
+
 #: Labelled documents to fit on, at most; and features that the fit keeps, at most.
-SAMPLE, FEATURES = 12_000, 20_000
+SAMPLE, FEATURES = 6_000, 20_000
 GRADES = 3
 _NEVER = 700.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -155,14 +158,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """Fit on at most sample labelled documents; labels with a null, and of ids that documents lack, count for nothing."""
     picked = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") != 0).cast("int").alias("bad"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id", "bad").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "bad").mapInArrow(_featurize, "features binary, bad int")
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "bad").mapInArrow(thrifty(_featurize), "features binary, bad int")
     return fit([(np.frombuffer(r[0], np.int64), r[1]) for r in rows.collect()])
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, whole.num_columns - 1)):
             found = [own.severity(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             cols = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array([round(s) for s, _ in found], pa.int32()), pa.array([p[0] >= 0.5 for _, p in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "severity", "grade", "toxic"])
@@ -179,4 +182,4 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, sample))
     documents = documents.drop("severity", "grade", "toxic")
     out = documents.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)}).schema
-    return documents.withColumn("__text", F.col("text")).mapInArrow(_score(model), out)
+    return documents.withColumn("__text", F.col("text")).mapInArrow(thrifty(_score(model)), out)
