@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+from .shingles import parts
+
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker remembers, in each of two generations.
-CACHE = 250_000
+CACHE = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -86,14 +89,16 @@ class Pieces:
         self.cut = "\n" if "\n" not in inner else None
         self.halves: dict[str, tuple[str, str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[tuple[int, ...], str, bool]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, bool]] = {}
+        self.cache: dict[str, tuple[int, ...] | list[int]] = {}
+        self.older: dict[str, tuple[int, ...] | list[int]] = {}
+        self.final: dict[str, tuple[int, ...]] = {}
         self.auto = ahocorasick.Automaton()
         for p in self.long:
             if SPACE * 2 not in p and self._split(p)[0]:  # others are never the last token of anything
                 self.auto.add_word(p, p)
         self.auto.make_automaton()
         self.runs: dict[int, tuple[int, ...]] = {}
+        self.shown = [str(i) for i in range(len(self.pieces))]
         self.text = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (" \u2047 " if k == UNKNOWN else p.replace(SPACE, " ")).encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
     def merge(self, symbols: list[str]) -> list[tuple[str, str]]:
@@ -131,6 +136,8 @@ class Pieces:
     def _compatible(self, key: tuple[str, str]) -> bool:
         """Whether BPE over the two tokens leaves their border alone: undo their merges, latest first, and look across."""
         if key not in self.fits:
+            if len(self.fits) >= 4 * CACHE:
+                self.fits.clear()
             left, right = key
             limit, first, ok = float("-inf"), False, True
             while ok:
@@ -151,47 +158,56 @@ class Pieces:
 
     def encode_chunk(self, chunk: str) -> list[str]:
         """Tokens of a chunk (at most one U+2581, at its start) by the prefix table."""
-        ending: list[list[str]] = [[] for _ in chunk]
-        for end, token in self.auto.iter(chunk):  # longest first for each end
-            ending[end].append(token)
         last: list[str] = []
-        fits, compatible = self.fits.get, self._compatible
-        for i, tokens in enumerate(ending):
-            for token in tokens:
-                at = i - len(token)
-                if at < 0:
-                    last.append(token)
-                    break
+        n, add, fits, compatible = 0, last.append, self.fits.get, self._compatible  # the dict stays the same one
+        for end, token in self.auto.iter(chunk):  # by end, the longest first
+            if end < n:
+                continue
+            while n < end:  # where nothing longer fits, a character on its own does
+                add(chunk[n])
+                n += 1
+            at = end - len(token)
+            if at >= 0:
                 ok = fits(key := (last[at], token))
-                if ok or ok is None and compatible(key):
-                    last.append(token)
-                    break
-            else:  # a character on its own fits where nothing longer does
-                last.append(chunk[i])
+                if not (ok or ok is None and compatible(key)):
+                    continue
+            add(token)
+            n += 1
+        last += chunk[n:]
         out, i = [], len(chunk) - 1
         while i >= 0:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
 
-    def _id(self, token: str) -> list[int]:
+    def _ids(self, token: str) -> tuple[int, ...]:
         if token in self.ids:
-            return [self.ids[token]]
-        return [self.byte[b] for b in token.encode("utf-8", "replace")] if self.byte else [self.unknown]
+            found = (self.ids[token],)
+        else:
+            found = tuple(self.byte[b] for b in token.encode("utf-8", "replace")) if self.byte else (self.unknown,)
+        if len(self.final) < CACHE:
+            self.final[token] = found
+        return found
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str, bool]:
-        """Of U+2581 and a word without it: the ids without a leading lone U+2581, as text too, and whether there was one."""
+    def _word(self, word: str) -> tuple[int, ...] | list[int]:
+        """Of U+2581 and a word without it: the ids; without a leading lone U+2581 they are a list, else a tuple."""
         if len(self.cache) >= CACHE:
             self.cache, self.older = {}, self.cache
         if word in self.older:
             found = self.cache[word] = self.older[word]
             return found
-        tokens: list[str] = []
-        for k, part in enumerate(word.split(self.cut) if self.cut else [word]):
-            tokens += [self.cut] * (k > 0) + (self.encode_chunk(part if k else SPACE + part) if part or not k else [])
+        if self.cut and self.cut in word:
+            tokens = []
+            for k, part in enumerate(word.split(self.cut)):
+                tokens += [self.cut] * (k > 0) + (self.encode_chunk(part if k else SPACE + part) if part or not k else [])
+        else:
+            tokens = self.encode_chunk(SPACE + word)
+        final = self.final.get
+        ids: list[int] = []
         lone = tokens[0] == SPACE
-        ids = tuple(i for t in tokens[lone:] for i in self._id(t))
-        found = self.cache[word] = ids, " ".join(map(str, ids)), lone
+        for token in tokens[1:] if lone else tokens:
+            ids += final(token) or self._ids(token)
+        found = self.cache[word] = ids if lone else tuple(ids)
         return found
 
     def _run(self, n: int) -> tuple[int, ...]:
@@ -204,29 +220,25 @@ class Pieces:
             self.runs[n] = ids
         return self.runs[n]
 
-    def encode(self, text: str | None) -> tuple[list[tuple[int, ...]], str]:
-        """The ids in pieces, and as decimals joined by one space; without the end id."""
+    def encode(self, text: str | None) -> list[int]:
+        """The ids, without the end id."""
         if not text:
-            return [], ""
-        ids: list[tuple[int, ...]] = []
-        shown: list[str] = []
+            return []
+        ids: list[int] = []
         run = 0
         for word in text.replace(SPACE, " ").split(" "):
             run += 1
             if word:
-                own, name, lone = self.cache.get(word) or self._word(word)
+                own = self.cache.get(word) or self._word(word)
+                lone = type(own) is list
                 if run > 1 or lone:
                     if run := run - (not lone):
-                        ids.append(spaces := self._run(run))
-                        shown.append(" ".join(map(str, spaces)))
-                ids.append(own)
-                if name:
-                    shown.append(name)
+                        ids += self._run(run)
+                ids += own
                 run = 0
         if run:
-            ids.append(spaces := self._run(run))
-            shown.append(" ".join(map(str, spaces)))
-        return ids, " ".join(shown)
+            ids += self._run(run)
+        return ids
 
     def decode(self, ids) -> str:
         """The text of the ids; the space that encoding puts in front goes, and invalid bytes become U+FFFD each."""
@@ -245,16 +257,14 @@ def _encode(model, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.sha256(model.value).hexdigest()
         own = _models.get(name) or _models.setdefault(name, Pieces(model.value))  # kept for a worker's next tasks
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 1)):
             counts, hashes, texts, all_ids, ends = [], [], [], array("i"), [0]
             for text in batch.column("text").to_pylist():
-                ids, shown = own.encode(text)
-                flat = list(itertools.chain.from_iterable(ids))
+                flat = own.encode(text)
                 decoded = own.decode(flat)
                 flat.append(own.end)
-                shown = f"{shown} {own.end}" if shown else str(own.end)
                 counts.append(len(flat))
-                hashes.append(hashlib.sha256(shown.encode()).hexdigest())
+                hashes.append(hashlib.sha256(" ".join(map(own.shown.__getitem__, flat)).encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 if with_ids:
                     all_ids.extend(flat)
@@ -277,4 +287,4 @@ def encode_documents(documents: DataFrame, model_path: str, ids: bool = False) -
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())
     kinds = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")} | ({"ids": F.array().cast("array<int>")} if ids else {})
-    return documents.select("doc_id", "text").mapInArrow(_encode(model, ids), documents.select("doc_id").withColumns(kinds).schema)
+    return documents.select("doc_id", "text").mapInArrow(thrifty(_encode(model, ids)), documents.select("doc_id").withColumns(kinds).schema)
