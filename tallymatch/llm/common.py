@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two or three longs that a broadcast may hold (about 24 MB); beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few longs that a broadcast may hold (about 30 MB as a hash table); beyond it the same join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:

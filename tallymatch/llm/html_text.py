@@ -32,12 +32,15 @@ TAGS_AGAINST = {"nav": 9.0, "footer": 9.0, "aside": 9.0, "form": 9.0, "menu": 9.
 TAGS_FOR = {"article": 4.0, "main": 3.0}
 WORDS_AGAINST = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager sidebar side rail widget widgets footer foot "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager sidebar widget widgets footer foot "
     "header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter "
-    "subscribe subscription signup login register share sharing social related recommended recommendations more trending "
-    "comment comments commentlist respond reply replies disqus discussion copyright legal disclaimer form search skip contentinfo "
+    "subscribe subscription signup login register share sharing social related recommended recommendations trending "
+    "comment comments commentlist respond reply replies disqus discussion copyright legal disclaimer form search contentinfo "
     "complementary banner alertdialog tags taglist toolbar".split()
 )
+#: Of these, those that an article further inside does not clear (it is one of theirs), and those that with a word for content mean its title.
+STICKY = frozenset("comment comments commentlist respond reply replies disqus discussion related recommended recommendations trending".split())
+TITLED = frozenset("header masthead".split())
 WORDS_FOR = frozenset("article content main post entry story body text".split())
 #: Smoothness between neighbours in page order, and between neighbours under one parent.
 ADJACENT, SIBLING = 0.6, 1.0
@@ -52,10 +55,16 @@ _STOP = re.compile(r"[.!?;:。।]")
 class Element(NamedTuple):
     tag: str
     key: int
-    against: float
+    loose: float  # price against content that an article or main element further inside clears
+    firm: float  # and that it does not
     favour: float
     hidden: bool
     link: bool
+    form: int  # key of the outermost form around
+
+    @property
+    def against(self) -> float:
+        return self.loose + self.firm
 
 
 class Block(NamedTuple):
@@ -65,12 +74,17 @@ class Block(NamedTuple):
     against: float
     favour: float
     linked: float  # share of its characters in links
+    form: int
 
 
 def _element(tag: str, attributes: str, key: int, above: Element) -> Element:
-    against, favour, hidden = TAGS_AGAINST.get(tag, 0.0), TAGS_FOR.get(tag, 0.0), tag in HIDDEN
+    loose, firm, favour, hidden = above.loose, above.firm, TAGS_FOR.get(tag, 0.0), tag in HIDDEN
+    if tag in ("article", "main"):
+        loose = 0.0  # a page's wrapper may be a form, or be named after the sidebar that it also holds
     if tag == "header" and above.favour >= 4:
-        against = 1.0  # an article's own header holds its title
+        loose += 1.0  # an article's own header holds its title
+    elif tag != "form":
+        loose += TAGS_AGAINST.get(tag, 0.0)
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -78,17 +92,23 @@ def _element(tag: str, attributes: str, key: int, above: Element) -> Element:
                 hidden = True
             elif name in ("class", "id", "role") and tag not in ("body", "html"):
                 words = set(_WORDS.findall(_CAMEL.sub(" ", html.unescape(value)).lower()))
-                if words & WORDS_AGAINST:
-                    against += 9.0
-                elif words & WORDS_FOR:
+                against = words & WORDS_AGAINST - {tag}
+                if words & WORDS_FOR and against <= TITLED:
                     favour += 1.5
-    return Element(tag, key, above.against + against, max(above.favour, favour), above.hidden or hidden, above.link or tag == "a")
+                elif against & STICKY:
+                    firm += 9.0
+                elif against and tag in ("article", "main"):
+                    firm += 9.0
+                elif against:
+                    loose += 9.0
+    form = 0 if tag in ("article", "main") else above.form or (key if tag == "form" else 0)
+    return Element(tag, key, loose, firm, max(above.favour, favour), above.hidden or hidden, above.link or tag == "a", form)
 
 
 def blocks(page: str) -> list[Block]:
     """The shown blocks of text of a page in page order; markup that is cut off or wrongly nested is read as browsers would, roughly."""
     out: list[Block] = []
-    root = Element("", 0, 0.0, 0.0, False, False)
+    root = Element("", 0, 0.0, 0.0, 0.0, False, False, 0)
     stack = [root]
     parts: list[str] = []
     linked = keys = 0
@@ -99,7 +119,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, owner.key, owner.tag, owner.against, owner.favour, min(1.0, linked / len(text))))
+                out.append(Block(text, owner.key, owner.tag, owner.against, owner.favour, min(1.0, linked / len(text)), owner.form))
             parts.clear()
         linked = 0
 
@@ -110,7 +130,7 @@ def blocks(page: str) -> list[Block]:
             if not parts or not "".join(parts[-1:]).strip():
                 owner = next((e for e in reversed(stack) if e.tag in BLOCK), root)
             if owner.against < top.against:
-                owner = owner._replace(against=top.against)
+                owner = owner._replace(loose=top.loose, firm=top.firm)
             parts.append(text)
             if top.link:
                 linked += len(text.strip())
@@ -159,7 +179,16 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and not m[3].endswith("/"):
             raw = tag
     flush()
-    return out
+    return [b if not b.form else b._replace(against=b.against + TAGS_AGAINST["form"]) for b in out] if not _wrapped(out) else out
+
+
+def _wrapped(found: list[Block]) -> bool:
+    """Whether one form holds most of the page's text, running text included: then it wraps the page and says nothing."""
+    size: dict[int, int] = {}
+    for b in found:
+        size[b.form] = size.get(b.form, 0) + len(b.text)
+    key = max(size, key=size.get, default=0)
+    return bool(key) and size[key] > sum(size.values()) / 2 and any(b.form == key and (b.tag in ("h1", "h2") or b.tag == "p" and len(b.text) > 200) for b in found)
 
 
 def prices(b: Block) -> tuple[float, float]:

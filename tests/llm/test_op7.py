@@ -32,6 +32,25 @@ def test_without_semantic_tags():
     assert main_text(page).split("\n") == ["Head", "Plain words in a block, quite a few of them. And a second sentence."]
 
 
+BODY = "<h1>Head line</h1><p>" + "Some words of the story go here. " * 12 + "</p>"
+WANT = "Head line\n" + ("Some words of the story go here. " * 12).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<form id='aspnetForm'><div class='menu'><a href=1>One</a></div><div>{BODY}</div><div class='footer'>Foot words.</div></form>",
+        f"<div class='layout has-sidebar'><div class='sidebar'><p>Side words here.</p></div><main>{BODY}</main></div>",
+        f"<div class='wrapper with-sidebar'><article class='post'><div class='entry-header'></div>{BODY}</article><section class='related'><article><p>Another story that is linked here, with words.</p></article></section></div>",
+        f"<article><header class='entry-header'><h1>Head line</h1></header>{BODY.split('</h1>')[1]}</article><div class='comments'><article class='comment'><p>A comment of a reader, quite long and kind.</p></article></div>",
+        f"<nav><a href=1>x</a><article>{BODY}</article>",
+        f"<div role='navigation'>Go there</div><div id='content'>{BODY}</div><div role='contentinfo'>Made by someone. All rights.</div>",
+    ],
+)
+def test_wrappers_do_not_hide_the_article(page):
+    assert main_text(page) == WANT
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!--", "<script>x", "</p></div>", "<nav>only</nav>", "<article></article>", " \n "])
 def test_nothing_to_keep(page):
     assert main_text(page) == ""
