@@ -27,11 +27,17 @@ def _conform(c: Column, kind: str, to: str) -> Column:
 
 
 def _spread(probes: DataFrame) -> DataFrame:
-    """Probes in enough partitions to keep every core busy; a table of many files has them already."""
-    cores = probes.sparkSession.sparkContext.defaultParallelism
-    if probes.isStreaming or probes.rdd.getNumPartitions() >= cores:
+    """Probes read from little data dealt over all cores; larger inputs come in enough partitions as they are.
+
+    Judged by the sizes of what is read, as the planner knows them: nothing runs for it.
+    """
+    if probes.isStreaming:
         return probes
-    return probes.repartition(2 * cores)
+    spark = probes.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    leaves = probes._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return probes.repartition(2 * cores) if read < cores * 2**27 else probes
 
 
 class RuleIndex:
