@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small, table
+from .common import partitions, small, table, thrifty
 from .components import components
 
 #: Vectors to fit on, vectors that a list should hold, lists, subspaces, codes of a subspace.
@@ -27,7 +27,7 @@ SAMPLE, PER_LIST, LISTS, SPACES, CODES = 16_384, 1024, 2048, 8, 256
 #: Members of a block, and queries that one task takes to it; queries compared at a time.
 BLOCK, QUERIES, BATCH = 4096, 50_000, 128
 #: Standard deviations of a random displacement across a border that probing covers.
-MARGIN = 5.0
+MARGIN = 3.0
 
 
 class Index(NamedTuple):
@@ -237,7 +237,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPL
     far = np.sqrt(max(0.0, 2 - 2 * least))
     reach = float(min(far, MARGIN * far / np.sqrt(longest)))
 
-    placed = table(known.select("grp", "rep", "n", "raw").mapInArrow(_place(index, reach), "grp string, list int, query boolean, rep long, n long, home int, raw binary, codes binary, error double"), "placed")
+    placed = table(known.select("grp", "rep", "n", "raw").mapInArrow(thrifty(_place(index, reach)), "grp string, list int, query boolean, rep long, n long, home int, raw binary, codes binary, error double"), "placed")
     sizes = placed.groupBy("grp", "list").agg(F.count(F.when(~F.col("query"), 1)).alias("members"), F.count(F.when(F.col("query"), 1)).alias("queries"))
     sizes = sizes.where("members > 0").select(F.col("grp").alias("g"), F.col("list").alias("l"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blks"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("salts"))
     cells = placed.join(small(sizes), (F.col("grp") == F.col("g")) & (F.col("list") == F.col("l")))
@@ -245,7 +245,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPL
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("blks")).otherwise(F.col("salts")) - 1))
     cells = cells.withColumns({"own": dealt, "other": other}).withColumns({"blk": F.when(F.col("query"), F.col("other")).otherwise(F.col("own")), "salt": F.when(F.col("query"), F.col("own")).otherwise(F.col("other"))})
     cells = cells.select("grp", "list", "blk", "salt", "query", "rep", "n", "home", "raw", "codes", "error").repartition(partitions(spark), "grp", "list", "blk", "salt").sortWithinPartitions("grp", "list", "blk", "salt", "query")
-    found = table(cells.mapInArrow(_search(index, least, reach), "kind int, a long, b long"), "found")
+    found = table(cells.mapInArrow(thrifty(_search(index, least, reach)), "kind int, a long, b long"), "found")
 
     links = found.where("kind = 0").groupBy(F.col("a").alias("linked")).agg(F.sum("b").alias("more"))
     labels = components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
