@@ -7,7 +7,8 @@
 3. In each block of columns, pairs must pass bounds derived from the sizes: the size ratio, the overlap still possible from
    the position of the shared shingle, and the number of cells in which parity bitmaps of both whole sets differ (at most
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
-   members whose components still differ; so a group of near copies costs about its size, not its square.
+   members whose components still differ; so a group of near copies costs about its size, not its square. A column of more
+   than BLOCK rows is dealt to blocks of about that size, and only the rows that all others must meet visit every block.
 4. Surviving pairs meet with their whole sets: each pivot's row is multiplied with the rows of its partners, streamed in
    blocks, and the exact overlap count decides in integers.
 5. Links become components by large-star and small-star steps.
@@ -34,6 +35,9 @@ BITS = 1024
 PIVOTS = 4
 #: Rows of the widest columns whose rows are compared by size and position before parity bitmaps are attached.
 WIDE = 16
+#: Rows of a column beyond which it is split, visitors that meet a split column's rows at a time, and how many times the mean
+#: count of a cell makes its shingles hot: these are split before their columns are known.
+BLOCK, VISITORS, HOT = 4096, 8192, 4
 #: Partners of one pivot that a task streams at most.
 PARTNERS = 2048
 
@@ -87,10 +91,11 @@ def _needed(num: int, den: int, a, b):
 
 
 def _prefixes(n: int, num: int, den: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64())), ("parity", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("parity", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
+        much = HOT * order.mean() + BLOCK
         for batch in (x for whole in batches for x in parts(whole, 1)):
             grams, parity = [], []
             for s in shingle_sets(batch.column(1), n):
@@ -101,60 +106,93 @@ def _prefixes(n: int, num: int, den: int, counts):
                 parity.append(np.packbits(bits.astype(np.uint8)).tobytes())
             ends = np.cumsum([0, *map(len, grams)])
             flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
-            yield _rows(schema, [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), parity])
+            listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(flat, pa.int64()), pa.array(order[_cell(flat.view(np.uint64))] > much, pa.bool_()))]
+            yield _rows(schema, [batch.column(0), *listed, parity])
 
     return run
 
 
-def _by_column(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Whole columns at a time from rows sorted by gram: the rows, and where each column starts and ends."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        gram = batch.column("gram").to_numpy()
-        cut = int(np.searchsorted(gram, gram[-1])) if gram[0] != gram[-1] else 0
-        if cut == 0 and (not held or held[-1].column("gram")[-1].as_py() == gram[0]):
-            held.append(batch)
-            continue
-        yield from _columns(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-        held = [batch.slice(cut)]
-    if held:
-        yield from _columns(pa.Table.from_batches(held))
-
-
-def _columns(t: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    gram = t.column("gram").to_numpy()
-    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    if len(gram):
-        yield t, starts, np.r_[starts[1:], len(gram)]
+def _starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Where each column (equal gram and salt) starts in sorted rows."""
+    gram, salt = (t.column(c).to_numpy() for c in ("gram", "salt"))
+    return np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])]) if len(gram) else np.empty(0, np.int64)
 
 
 def _drop_lone(num: int, den: int):
     """Drops the rows that no other row of their column can reach the threshold with, by size and position alone.
 
-    Columns up to WIDE rows are compared in full, row by row shifts; of wider ones every row stays.
+    Columns up to WIDE rows are compared in full, row by row shifts; of wider ones, and of hot grams, every row stays and streams through.
     """
 
+    def some(t: pa.Table, wide: bool) -> pa.Table:
+        """What stays of whole columns, or (wide) of a part of one."""
+        if wide or not t.num_rows:
+            return t
+        starts = _starts(t)
+        size = np.diff(np.r_[starts, t.num_rows])
+        column = np.repeat(np.arange(len(starts)), size)
+        keep = np.repeat(size > WIDE, size) | t.column("hot").to_numpy()
+        n, pos = t.column("n").to_numpy(), t.column("pos").to_numpy()
+        whole, found = keep.copy(), np.zeros(len(keep), bool)
+        for k in range(1, min(WIDE + 1, int(size.max()))):
+            x = np.flatnonzero((column[k:] == column[:-k]) & ~whole[k:])
+            a, b = n[x], n[x + k]
+            need = _needed(num, den, a, b)
+            x = x[(np.minimum(a - pos[x], b - pos[x + k]) >= need) & (np.minimum(a, b) >= need)]
+            found[x] = found[x + k] = True
+        return t.filter(pa.array(keep | found))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts, ends in _by_column(batches):
-            size = ends - starts
-            column, wide = np.repeat(np.arange(len(starts)), size), np.repeat(size > WIDE, size)
-            n, pos = t.column("n").to_numpy(), t.column("pos").to_numpy()
-            keep = wide.copy()
-            for k in range(1, min(WIDE, int(size.max()))):
-                x = np.flatnonzero((column[k:] == column[:-k]) & ~wide[k:])
-                a, b = n[x], n[x + k]
-                need = _needed(num, den, a, b)
-                x = x[(np.minimum(a - pos[x], b - pos[x + k]) >= need) & (np.minimum(a, b) >= need)]
-                keep[x] = keep[x + k] = True
-            for batch in t.filter(pa.array(keep)).to_batches():
-                if batch.num_rows:
-                    yield batch
+        held, wide = None, False  # the rows of the last column so far; whether it has been found wide and is passed on
+        last = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not t.num_rows:
+                continue
+            if wide:
+                same = (t.column("gram").to_numpy() == last[0]) & (t.column("salt").to_numpy() == last[1])
+                passed = int(same.sum())  # sorted, so these come first
+                yield from t.slice(0, passed).to_batches()
+                t = t.slice(passed)
+                wide = passed == batch.num_rows
+                if wide:
+                    continue
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            cut = int(_starts(t)[-1])
+            yield from (b for b in some(t.slice(0, cut), False).to_batches() if b.num_rows)
+            held = t.slice(cut)
+            if held.num_rows > WIDE:
+                last = held.column("gram")[0].as_py(), held.column("salt")[0].as_py()
+                yield from held.to_batches()
+                held, wide = None, True
+        if held is not None:
+            yield from (b for b in some(held, False).to_batches() if b.num_rows)
 
     return run
 
 
+def _by_column(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Columns from rows sorted by gram, salt and away: whole ones, or of one with many visitors its own rows with some of them at a time."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        t = t if held is None else pa.concat_tables([held, t])
+        starts = _starts(t)
+        cut = int(starts[-1])
+        if cut:
+            yield t.slice(0, cut), starts[:-1], starts[1:]
+        held = t.slice(cut)
+        away = int(held.column("away").to_numpy().sum())
+        if away > VISITORS:
+            yield held, np.array([0]), np.array([held.num_rows])
+            held = held.slice(0, held.num_rows - away)
+    if held is not None and held.num_rows:
+        yield held, np.array([0]), np.array([held.num_rows])
+
+
 _PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64())])
 
 
@@ -163,7 +201,7 @@ def _candidates(num: int, den: int, pivots: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in _by_column(batches):
-            doc, label, n, pos = (t.column(c).to_numpy() for c in ("doc", "label", "n", "pos"))
+            doc, label, n, pos, away = (t.column(c).to_numpy() for c in ("doc", "label", "n", "pos", "away"))
             gram = t.column("gram").to_numpy().view(np.uint64)
             bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
             left, right, many = [], [], 0
@@ -171,7 +209,7 @@ def _candidates(num: int, den: int, pivots: int | None):
             def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 a, b = n[x], n[y]  # noqa: B023
                 need = _needed(num, den, a, b)
-                ok = (label[x] != label[y]) & (np.minimum(a - pos[x], b - pos[y]) >= need) & (np.minimum(a, b) >= need)  # noqa: B023
+                ok = (label[x] != label[y]) & ~(away[x] & away[y]) & (np.minimum(a - pos[x], b - pos[y]) >= need) & (np.minimum(a, b) >= need)  # noqa: B023
                 x, y, least = x[ok], y[ok], (a + b - 2 * need)[ok]
                 ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= least  # noqa: B023
                 return x[ok], y[ok]
@@ -179,7 +217,7 @@ def _candidates(num: int, den: int, pivots: int | None):
             size = ends - starts
             if pivots:
                 column = np.repeat(np.arange(len(starts)), size)
-                order = np.lexsort((mix(doc.view(np.uint64) ^ mix(gram)), column))
+                order = np.lexsort((mix(doc.view(np.uint64) ^ mix(gram)), ~away, column))  # visitors are pivots first
                 found = []
                 for k in range(pivots):
                     has = size > k + 1
@@ -190,7 +228,7 @@ def _candidates(num: int, den: int, pivots: int | None):
             else:
                 for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                     own = label[a:b]
-                    if b - a < 3 or (own == own[0]).all():
+                    if (own == own[0]).all():
                         continue
                     by = a + np.argsort(n[a:b], kind="stable")
                     sizes = n[by]
@@ -277,20 +315,32 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     reps = classes.where("rep is not null").select("rep", F.col("n").alias("n_rep")).dropDuplicates(["rep"])
 
     counts = spark.sparkContext.broadcast(cells)
-    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, grams array<long>, parity binary")
+    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, grams array<long>, hot array<boolean>, parity binary")
     prefix = table(prefix.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), "prefix")
-    rows = prefix.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.col("n_rep").alias("n"), F.posexplode("grams").alias("pos", "gram"))
-    rows = rows.select("gram", F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos")).repartition(partitions(spark), "gram").sortWithinPartitions("gram")
-    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, doc long, n long, pos long"), "columns")
+    rows = prefix.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
+    salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("rep"), F.lit(partitions(spark)))).otherwise(0).cast("int")
+    rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
+    rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
+    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean").drop("salt", "hot"), "columns")
     parity = prefix.select(F.col("doc_id").alias("id"), "parity")
+    large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
-        grams = shared.join(parity, F.col("doc") == F.col("id"))
+        """Pairs to verify. The rows of a large column are dealt to blocks; the one that all must meet visits every block: in the
+        first round the column's first row, in the second whatever is not of the column's most frequent component."""
+        grams = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels.select(F.col("id").alias("lid"), "component"), F.col("doc") == F.col("lid"), "left").withColumn("label", F.coalesce("component", "doc")).drop("lid", "component")
+        hot = large.select("__gram", "size", F.col("first.doc").alias("key"))
         if labels is not None:
-            grams = grams.join(labels.select(F.col("id").alias("lid"), "component"), F.col("doc") == F.col("lid"), "left").withColumn("label", F.coalesce("component", "doc"))
-        else:
-            grams = grams.withColumn("label", F.col("doc"))
-        grams = grams.select("gram", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram").sortWithinPartitions("gram")
+            often = grams.join(small(large.select("__gram")), F.col("gram") == F.col("__gram"), "left_semi").groupBy("gram", "label").count()
+            often = often.groupBy(F.col("gram").alias("__gram")).agg(F.max_by("label", F.struct("count", "label")).alias("key"), F.sum("count").alias("size"))
+            hot = often
+        grams = grams.join(small(table(hot, "hot")), F.col("gram") == F.col("__gram"), "left")
+        blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+        visits = F.col("size").isNotNull() & ((F.col("doc") == F.col("key")) if labels is None else (F.col("label") != F.col("key")))
+        grams = grams.withColumn("home", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
+        grams = grams.withColumn("salt", F.explode(F.when(visits, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
+        grams = grams.withColumn("away", F.col("salt") != F.col("home")).join(parity, F.col("doc") == F.col("id"))
+        grams = grams.select("gram", "salt", "away", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", "away")
         pairs = table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
         many = pairs.groupBy(F.col("i").alias("ii")).agg(F.count("*").alias("many"))
         return pairs.join(many, F.col("i") == F.col("ii")).select("i", "j", "many")

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
-from tallymatch.llm import queries
+from tallymatch.llm import jaccard, queries
 from tallymatch.llm.components import components
 from tallymatch.llm.jaccard import jaccard_classes
 from tallymatch.llm.shingles import shingle_sets
@@ -51,8 +51,12 @@ def got(df):
     return {tuple(r) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("n", "t"), [(3, (9, 10)), (5, (4, 5))])
-def test_near_copies_against_brute_force(spark, n, t):
+@pytest.mark.parametrize(("n", "t", "block"), [(3, (9, 10), 4096), (5, (4, 5), 4096), (3, (9, 10), 3), (5, (4, 5), 2)])
+def test_near_copies_against_brute_force(spark, monkeypatch, n, t, block):
+    """Also with columns of more than a few rows split, and with hot shingles salted."""
+    if block < 10:
+        for name, value in (("BLOCK", block), ("VISITORS", 2), ("HOT", 1), ("WIDE", 3)):
+            monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(n)
     vocab = [f"w{i}" for i in range(300)]
     docs, key = [], 0
@@ -99,3 +103,31 @@ def test_hashes_agree_with_word_sets():
     for t in texts[:1] * 2 + ["A b  a\tb a b"]:
         by[next(shingle_sets(pa.array([t]), 3)).tobytes()].add(t)
     assert len(by) == 1
+
+
+def test_split_columns_give_the_same_pairs(monkeypatch):
+    """A column's blocks with visitors, a few visitors at a time, against the column in one piece."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    names = ["gram", "salt", "away", "doc", "label", "n", "pos", "parity"]
+    base = rng.integers(0, 256, 128, dtype=np.uint8)
+
+    def row(doc, salt, away):
+        bits = base.copy()
+        bits[doc % 5] ^= np.uint8(doc % 7)
+        return (7, salt, away, doc, doc % 4 if doc % 3 else 0, 100 + doc % 6, doc % 3, bits.tobytes())
+
+    def pairs(rows, pivots):
+        rows = sorted(rows, key=lambda r: r[:3])
+        t = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+        out = [b.to_pylist() for b in jaccard._candidates(9, 10, pivots)(iter(t.to_batches(max_chunksize=11)))]
+        return {(r["i"], r["j"]) for b in out for r in b}
+
+    docs = range(200)
+    whole = pairs([row(d, 0, False) for d in docs], None)
+    monkeypatch.setattr(jaccard, "VISITORS", 5)
+    minor = [d for d in docs if row(d, 0, False)[4] != 0]
+    dealt = [row(d, s, s != d % 4) for d in docs for s in (range(4) if d in minor else [d % 4])]
+    assert pairs(dealt, None) == whole and len(whole) > 1000
+    assert pairs([row(d, 0, False) for d in docs], 4) <= whole
