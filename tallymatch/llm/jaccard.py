@@ -7,7 +7,7 @@
 3. In each block of columns, pairs must pass bounds derived from the sizes: the size ratio, the overlap still possible from
    the position of the shared shingle, and the number of cells in which parity bitmaps of both whole sets differ (at most
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
-   members whose components still differ; so a group of near copies costs about its size, not its square. A column of more
+   members whose components still differ, in columns where pivots did not meet everyone; so a group of near copies costs about its size, not its square. A column of more
    than BLOCK rows is dealt to blocks of about that size, and only the rows that all others must meet visit every block.
 4. Surviving pairs meet with their whole sets: each pivot's row is multiplied with the rows of its partners, streamed in
    blocks, and the exact overlap count decides in integers.
@@ -121,13 +121,13 @@ def _starts(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 def _drop_lone(num: int, den: int):
     """Drops the rows that no other row of their column can reach the threshold with, by size and position alone.
 
-    Columns up to WIDE rows are compared in full, row by row shifts; of wider ones, and of hot grams, every row stays and streams through.
+    Marks the rows of columns in which pivots do not meet every member (more). Columns up to WIDE rows are compared in full, row by row shifts; of wider ones, and of hot grams, every row stays and streams through.
     """
 
     def some(t: pa.Table, wide: bool) -> pa.Table:
         """What stays of whole columns, or (wide) of a part of one."""
         if wide or not t.num_rows:
-            return t
+            return t.append_column("more", pa.array(np.ones(t.num_rows, bool)))
         starts = _starts(t)
         size = np.diff(np.r_[starts, t.num_rows])
         column = np.repeat(np.arange(len(starts)), size)
@@ -140,7 +140,7 @@ def _drop_lone(num: int, den: int):
             need = _needed(num, den, a, b)
             x = x[(np.minimum(a - pos[x], b - pos[x + k]) >= need) & (np.minimum(a, b) >= need)]
             found[x] = found[x + k] = True
-        return t.filter(pa.array(keep | found))
+        return t.append_column("more", pa.array(np.repeat(size > PIVOTS + 1, size) | whole)).filter(pa.array(keep | found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, wide = None, False  # the rows of the last column so far; whether it has been found wide and is passed on
@@ -152,7 +152,7 @@ def _drop_lone(num: int, den: int):
             if wide:
                 same = (t.column("gram").to_numpy() == last[0]) & (t.column("salt").to_numpy() == last[1])
                 passed = int(same.sum())  # sorted, so these come first
-                yield from t.slice(0, passed).to_batches()
+                yield from some(t.slice(0, passed), True).to_batches()
                 t = t.slice(passed)
                 wide = passed == batch.num_rows
                 if wide:
@@ -164,7 +164,7 @@ def _drop_lone(num: int, den: int):
             held = t.slice(cut)
             if held.num_rows > WIDE:
                 last = held.column("gram")[0].as_py(), held.column("salt")[0].as_py()
-                yield from held.to_batches()
+                yield from some(held, True).to_batches()
                 held, wide = None, True
         if held is not None:
             yield from (b for b in some(held, False).to_batches() if b.num_rows)
@@ -321,14 +321,14 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("rep"), F.lit(partitions(spark)))).otherwise(0).cast("int")
     rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
-    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean").drop("salt", "hot"), "columns")
+    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
     parity = prefix.select(F.col("doc_id").alias("id"), "parity")
     large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
         """Pairs to verify. The rows of a large column are dealt to blocks; the one that all must meet visits every block: in the
         first round the column's first row, in the second whatever is not of the column's most frequent component."""
-        grams = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels.select(F.col("id").alias("lid"), "component"), F.col("doc") == F.col("lid"), "left").withColumn("label", F.coalesce("component", "doc")).drop("lid", "component")
+        grams = shared.withColumn("label", F.col("doc")) if labels is None else shared.where("more").join(labels.select(F.col("id").alias("lid"), "component"), F.col("doc") == F.col("lid"), "left").withColumn("label", F.coalesce("component", "doc")).drop("lid", "component")
         hot = large.select("__gram", "size", F.col("first.doc").alias("key"))
         if labels is not None:
             often = grams.join(small(large.select("__gram")), F.col("gram") == F.col("__gram"), "left_semi").groupBy("gram", "label").count()
