@@ -70,11 +70,11 @@ def shown(a: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     """df with next_<value>: the value in the row that follows by descending id (nulls last, then by value), after the last the first.
 
-    Rows are dealt by quantiles of the id to as many buckets as there are shuffle partitions, and each bucket gets a copy of
+    Rows are dealt by quantiles of the id to four buckets a shuffle partition (so that partitions get alike shares), and each bucket gets a copy of
     the first row of the one after it; so no window spans the table. Only the buckets' largest ids reach the driver.
     """
     spark = df.sparkSession
-    n = partitions(spark)
+    n = 4 * partitions(spark)
     quantiles = [i / n for i in range(1, n)]
     bounds = df.agg(F.percentile_approx(id_col, quantiles or [0.5], 10_000)).first()[0]
     bounds = sorted(set(bounds or []))
