@@ -22,6 +22,8 @@ from .common import columns, running_sums, small, table
 from .shingles import mix
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
+#: Size classes of an octave that the remainders of documents are given out by, and what one copy counts in their sums.
+CLASSES, ONE = 16, 1 << 24
 #: Words of a block, and slots of an output shard.
 BLOCK, SLOTS, SEED = 512, 4096, 20240611
 _U = np.uint64
@@ -142,23 +144,17 @@ def slots_of(spark, sources: list[Source], slots: int = SLOTS, seed: int = SEED)
     return runs.union(rest).mapInArrow(_slots(sources, seed), "shard long, sid int, slot long, block long, words long")
 
 
-def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted, and text_hash to tell rows of one doc_id apart.
-
-    Returns doc_id, text_hash, size (words of the text; a null text has none), source_size, target (of the source) and taken,
-    one row per row of documents. Sources are taken by code point, null last. A source's taken words sum up to its rounded
-    target, no document's exceed most (a whole number) times its size, and a rerun takes the same. Rows without words take
-    nothing, and an empty table gives no rows. The names and totals of the sources (one row each) are the driver's only data.
-    """
+def _taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
+    """What mix_sources returns, and sid and source."""
     spark = documents.sparkSession
     docs = columns(documents, "doc_id", "source", "text")
     sized = table(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
     totals = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sources = plan([t[0] for t in totals], [t[1] for t in totals], block, seed, weights, share, most)
     ids = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "sid int, name string, source_size long, target double")
-    sized = sized.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    sized = sized.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     if not sum(s.slots for s in sources):
-        return sized.select("doc_id", "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return sized.select("sid", "source", "doc_id", "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     placed = table(running_sums(sized, ["sid"], F.struct("doc_id", "text_hash"), ["size"]), "placed")
     parts = placed.where("size > 0").select("sid", F.col("before_size").alias("at"), F.col("size").alias("n"))
     parts = parts.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + n - 1) div {block})")))
@@ -167,17 +163,57 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     met = met.join(parts, (F.col("s") == F.col("sid")) & (F.col("k") == F.col("block")))
     taken = met.groupBy("sid", "at").agg(F.sum(F.greatest(F.least("b", "words") - F.col("a"), F.lit(0))).alias("got")).withColumnsRenamed({"sid": "__sid", "at": "__at"})
     out = placed.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("before_size") == F.col("__at")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "text_hash", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return out.select("sid", "source", "doc_id", "text_hash", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_sources(documents: DataFrame, **options) -> DataFrame:
+    """How many words of each document the mix takes, repeats counted, and text_hash to tell rows of one doc_id apart.
+
+    Returns doc_id, text_hash, size (words of the text; a null text has none), source_size, target (of the source) and taken,
+    one row per row of documents. Sources are taken by code point, null last. A source's taken words sum up to its rounded
+    target, no document's exceed most (a whole number) times its size, and a rerun takes the same. Rows without words take
+    nothing, and an empty table gives no rows. The names and totals of the sources (one row each) are the driver's only data.
+    """
+    return _taken(documents, **options).drop("sid", "source")
+
+
+def _copies(taken: DataFrame, seed: int) -> DataFrame:
+    """(source, doc_id, text_hash, times, more): the copies of each row, and how many of the rows that agree in these get one more.
+
+    Whole multiples of a document's size stay; the remainders, as parts of a copy, are summed up along the source, from the
+    longest size class to the shortest and in hashed order in each, and a copy goes to the row in which the sum (which starts at
+    a hashed part of a copy) passes a whole number. So each row gets its part on average, whatever its size, and since sizes
+    fall along the sum, the words of a source miss its target by about one document at most.
+    """
+    rows = taken.groupBy("sid", "source", "doc_id", "text_hash", "size").agg(F.sum("taken").alias("got"), F.count("*").alias("rows"))
+    rows = rows.withColumn("times", F.when(F.col("size") > 0, F.expr("got div (size * rows)")).otherwise(1))
+    rows = rows.withColumn("part", F.when(F.col("size") > 0, F.round((F.col("got") - F.col("times") * F.col("size") * F.col("rows")) / F.col("size") * ONE)).otherwise(0).cast("long"))
+    rows = table(rows.withColumn("class", F.floor(F.log2("size") * CLASSES)), "parts")
+    placed = table(running_sums(rows.where("part > 0"), ["sid", "class"], F.struct("doc_id", "text_hash"), ["part"]), "parts")
+    longer = Window.partitionBy("sid").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(ONE))
+    base = placed.groupBy("sid", "class").agg(F.sum("part").alias("all")).select(F.col("sid").alias("__sid"), F.col("class").alias("__class"), (F.coalesce(F.sum("all").over(longer), F.lit(0)) + start).alias("base"))
+    placed = placed.join(small(table(base, "classes")), (F.col("sid") == F.col("__sid")) & (F.col("class") == F.col("__class"))).withColumn("at", F.col("base") + F.col("before_part"))
+    placed = placed.withColumn("more", F.expr(f"(at + part) div {ONE} - at div {ONE}"))
+    out = placed.select("source", "doc_id", "text_hash", "rows", "times", "more").union(rows.where("part = 0").select("source", "doc_id", "text_hash", "rows", "times", F.lit(0).cast("long")))
+    all_rows = F.col("more") >= F.col("rows")
+    out = out.select("source", "doc_id", "text_hash", (F.col("times") + F.when(all_rows, 1).otherwise(0)).cast("int").alias("times"), F.when(all_rows, 0).otherwise(F.col("more")).alias("more"))
+    return out.where("times > 0 or more > 0")
 
 
 def mix_documents(documents: DataFrame, **options) -> DataFrame:
-    """The rows of documents, each as often as the mix takes its words (taken / size, rounded; half up): so some repeat and some go.
+    """The rows of documents, each as often as the mix takes its words: so some repeat and some go.
 
-    Rows without words hold nothing to mix and stay once. Rows that agree in doc_id and text take the mean of theirs.
+    A row stays floor(taken / size) times, and the remainders of a source are given out as whole copies (see _copies): without
+    regard to length, and up to the source's target. Rows without words hold nothing to mix and stay once.
     """
-    mixed = mix_sources(documents, **options).groupBy("doc_id", "text_hash").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
-    mixed = mixed.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
-    times = F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size") + 0.5)).otherwise(1).cast("int")
-    taken = table(mixed.withColumn("__times", times).where("__times > 0").select("__id", "__hash", "__times"), "taken")
-    joined = documents.join(small(taken), documents["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(documents["text"]) == F.col("__hash")))
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[documents[c] for c in documents.columns])
+    taken = _copies(_taken(documents, **options), options.get("seed", SEED))
+    taken = table(taken.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("times").alias("__times"), F.col("more").alias("__more")), "taken")
+    source = documents["source"] if "source" in documents.columns else F.lit(None).cast("string")
+    joined = documents.join(small(taken), documents["doc_id"].eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__source")) & (F.xxhash64(documents["text"]) == F.col("__hash")))
+    out = joined.where("__more = 0")
+    if not taken.where("__more > 0").isEmpty():  # rows that repeat doc_id, source and text, of which some get a copy more
+        others = [documents[c] for c, kind in documents.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
+        rank = F.row_number().over(Window.partitionBy("__source", "__id", "__hash").orderBy(F.xxhash64(*others)))
+        out = out.union(joined.where("__more > 0").withColumn("__times", F.col("__times") + F.when(rank <= F.col("__more"), 1).otherwise(0)).where("__times > 0"))
+    return out.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -72,6 +72,29 @@ def test_small_blocks_odd_rows(spark):
     assert sum(r["doc_id"] == 500 for r in mixed) == 1
 
 
+def test_copies_of_long_documents_meet_the_target(spark):
+    """Ratios of 0.33 and 0.67 over documents of many blocks, a few short ones among them; rows of one document repeat."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], "w " * int(n)) for i, n in enumerate(rng.integers(4_000, 12_000, 300))]
+    rows += [(1000 + i, "ab"[i % 2], "v " * int(n)) for i, n in enumerate(rng.integers(1, 400, 300))]
+    rows += [(5000, "b", "u " * 3_000)] * 30 + [(5000, "a", "u " * 3_000)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    size, target = {}, {}
+    for name in "ab":
+        size[name] = sum(len(t.split()) for _, s, t in rows if s == name)
+    target = dict(zip("ab", targets(list(size.values()), (2, 1), 0.5), strict=True))
+    got = [tuple(r) for r in mix_documents(df, weights=(2, 1), share=0.5).collect()]
+    for name in "ab":
+        ratio = target[name] / size[name]
+        assert abs(sum(len(t.split()) for _, s, t in got if s == name) - target[name]) <= 12_000
+        for short in (False, True):
+            of = lambda x: sum(s == name and (i >= 1000) == short and i != 5000 for i, s, _ in x)  # noqa: B023, E731
+            assert abs(of(got) / of(rows) - ratio) < (0.12 if short else 0.05), (name, short)
+        again = sum(i == 5000 and s == name for i, s, _ in got)
+        assert 0.5 * ratio * 30 < again < min(30, 1.5 * ratio * 30 + 1)
+    assert sorted(got) == sorted(tuple(r) for r in mix_documents(df, weights=(2, 1), share=0.5).collect())
+
+
 def test_slots_meet_the_plan(spark):
     sources = plan(["a", "b"], [1000, 30], 16, 5)
     slots = slots_of(spark, sources, 10, 5).collect()
