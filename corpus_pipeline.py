@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch.llm.common import small, table
-from tallymatch.llm.jaccard import jaccard_classes
+from tallymatch.llm.jaccard import jaccard_groups
 from tallymatch.llm.lines import dedup_lines
 from tallymatch.llm.mixing import mix_documents
 from tallymatch.llm.pieces import encode_documents
@@ -38,10 +38,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles (Jaccard 0.8 or more) the one of the smallest doc_id; rows without an id stay."""
-    classes = jaccard_classes(docs, n=5, threshold=(4, 5))
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(small(table(gone, "gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Of each group of documents linked by five-word shingles (Jaccard 0.8 or more) one row of the smallest doc_id; rows without an id or words stay.
+
+    Rows are told apart by doc_id and text, so one doc_id may stay by one text and go by another. Rows that agree in both are
+    one document: of a group's, the one with the smallest other columns stays.
+    """
+    groups = table(jaccard_groups(docs, n=5, threshold=(4, 5)).where("n_shingles > 0 and doc_id is not null"), "groups")
+    first = table(groups.where("doc_id = component_id").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows")), "first")
+    several = first.groupBy("component").agg(F.count("*").alias("texts"), F.min("text_hash").alias("stays")).where("texts > 1").select(F.col("component").alias("of"), "stays")
+    more = first.join(several, (F.col("component") == F.col("of")) & (F.col("text_hash") != F.col("stays")), "left_semi")
+    gone = groups.where("doc_id <> component_id").select("doc_id", "text_hash").union(more.select("doc_id", "text_hash")).distinct()
+    gone = table(gone.toDF("__id", "__hash"), "gone")
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    out = docs.join(small(gone), same, "left_anti")
+    twice = table(first.where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "twice")
+    if twice.isEmpty():
+        return out
+    rest = F.struct(F.lit(0).alias("__0"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    lone = out.join(small(twice), same, "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("__rest")).select("doc_id", "text", "__rest.*")
+    return out.join(small(twice), same, "left_anti").union(lone.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

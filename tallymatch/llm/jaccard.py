@@ -1,7 +1,8 @@
 """N-gram Jaccard join: a blocked sparse matrix product of document by n-gram incidence, reduced to what can pass.
 
 1. One pass over the texts gives each document the size and a 128-bit key of its set of n-word shingles, and counts shingles
-   in a fixed number of hash cells over all documents. Documents with equal sets become one class.
+   in a fixed number of hash cells over all documents. Documents with equal sets become one class, which has a number of its own
+   and is represented by a text that its doc_id and hash tell (a doc_id may repeat with other texts, in other classes).
 2. Shingles are ordered by the count of their cell (rare first). A pair that reaches the threshold shares a shingle among the
    first |x| - ceil(t |x|) + 1 of each, so only these incidences are shuffled into column blocks, and rows that can reach it with no other row of their column go.
 3. In each block of columns, pairs must pass bounds derived from the sizes: the size ratio, the overlap still possible from
@@ -57,7 +58,7 @@ def _signed(x: int) -> int:
 
 
 def _profile(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
@@ -71,9 +72,9 @@ def _profile(n: int):
                 own.append(s)
             if own:
                 cells += np.bincount(_cell(np.concatenate(own)), minlength=CELLS).astype(np.uint32)
-            yield _rows(schema, [batch.column(0), sizes, k1, k2, [None] * len(sizes), [None] * len(sizes)])
+            yield _rows(schema, [batch.column(0), batch.column(2), sizes, k1, k2, [None] * len(sizes), [None] * len(sizes)])
         if cells.any():
-            yield _rows(schema, [[None] * CHUNKS] * 4 + [list(range(CHUNKS)), [x.tobytes() for x in np.split(cells, CHUNKS)]])
+            yield _rows(schema, [[None] * CHUNKS] * 5 + [list(range(CHUNKS)), [x.tobytes() for x in np.split(cells, CHUNKS)]])
 
     return run
 
@@ -91,7 +92,7 @@ def _needed(num: int, den: int, a, b):
 
 
 def _prefixes(n: int, num: int, den: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("parity", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("grams", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("parity", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
@@ -107,7 +108,7 @@ def _prefixes(n: int, num: int, den: int, counts):
             ends = np.cumsum([0, *map(len, grams)])
             flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
             listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(flat, pa.int64()), pa.array(order[_cell(flat.view(np.uint64))] > much, pa.bool_()))]
-            yield _rows(schema, [batch.column(0), *listed, parity])
+            yield _rows(schema, [batch.column(0), batch.column(2), *listed, parity])
 
     return run
 
@@ -284,12 +285,13 @@ def _verify(num: int, den: int):
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (i, j) of class representatives whose whole sets reach the threshold."""
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (i, j) of classes whose whole sets reach the threshold."""
     spark = docs.sparkSession
     salted = pairs.select("i", "j", F.pmod(F.xxhash64("j"), F.ceil(F.col("many") / PARTNERS)).cast("int").alias("salt"))
     asked = salted.select(F.col("j").alias("id"), "i", "salt", "j").union(salted.select("i", "salt").distinct().select(F.col("i").alias("id"), "i", "salt", F.lit(None).cast("long")))
-    rows = docs.join(small(table(asked, "asked")), F.col("doc_id") == F.col("id")).select("i", "salt", "j", "text")
+    asked = asked.join(reps, F.col("id") == F.col("class")).select("rep", "rep_hash", "i", "salt", "j")
+    rows = docs.join(small(table(asked, "asked")), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("i", "salt", "j", "text")
     rows = rows.mapInArrow(thrifty(_sets(n)), "i long, salt int, j long, grams binary")
     rows = rows.repartition(partitions(spark), "i", "salt").sortWithinPartitions("i", "salt", F.col("j").asc_nulls_first())
     return rows.mapInArrow(thrifty(_verify(num, den)), "src long, dst long")
@@ -303,26 +305,34 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     nothing. Equal sets always link. Rows that repeat a doc_id count as documents of their own; a null doc_id belongs to the
     component of its set. An empty table gives no rows; other columns of documents are ignored.
     """
+    return jaccard_groups(documents, n, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """What jaccard_classes returns, with text_hash and component (a number of the component's own, null where a row links with
+    nothing by its nature): components whose smallest doc_id is the same are told apart by it, and rows of one doc_id by text_hash."""
     num, den = threshold
     spark = documents.sparkSession
-    docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = table(docs.mapInArrow(thrifty(_profile(n)), "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
+    docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    profile = table(docs.mapInArrow(thrifty(_profile(n)), "doc_id long, text_hash long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
     cells = np.zeros(CELLS, np.uint64)
     for chunk, counts in profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary").collect():
         cells[chunk * (CELLS // CHUNKS) : (chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(counts, np.uint64)
-    sets = profile.where("chunk is null").select("doc_id", "n", "k1", "k2")
-    classes = table(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.where("rep is not null").select("rep", F.col("n").alias("n_rep")).dropDuplicates(["rep"])
+    sets = profile.where("chunk is null").select("doc_id", "text_hash", "n", "k1", "k2")
+    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"))
+    classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = classes.where("rep is not null").select("class", "rep", "rep_hash", F.col("n").alias("n_rep"))
 
     counts = spark.sparkContext.broadcast(cells)
-    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, grams array<long>, hot array<boolean>, parity binary")
-    prefix = table(prefix.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]), "prefix")
-    rows = prefix.join(reps, F.col("doc_id") == F.col("rep")).select("rep", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
-    salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("rep"), F.lit(partitions(spark)))).otherwise(0).cast("int")
-    rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("rep").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
+    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, text_hash long, grams array<long>, hot array<boolean>, parity binary")
+    prefix = prefix.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("class", "n_rep", "grams", "hot", "parity")
+    prefix = table(prefix.dropDuplicates(["class"]), "prefix")
+    rows = prefix.select("class", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
+    salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("class"), F.lit(partitions(spark)))).otherwise(0).cast("int")
+    rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("class").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
     shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
-    parity = prefix.select(F.col("doc_id").alias("id"), "parity")
+    parity = prefix.select(F.col("class").alias("id"), "parity")
     large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
@@ -345,10 +355,13 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
         many = pairs.groupBy(F.col("i").alias("ii")).agg(F.count("*").alias("many"))
         return pairs.join(many, F.col("i") == F.col("ii")).select("i", "j", "many")
 
-    links = table(_links(docs, met(None, PIVOTS), n, num, den), "links")
+    links = table(_links(docs, reps, met(None, PIVOTS), n, num, den), "links")
     labels = table(components(links), "labels")
-    links = table(links.union(_links(docs, met(labels, None), n, num, den)), "links")
-    labels = components(links)
-    found = sets.join(classes.select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep"), (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    found = found.join(labels, F.col("rep") == F.col("id"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    links = table(links.union(_links(docs, reps, met(labels, None), n, num, den)), "links")
+    labels = table(components(links), "labels").join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")
+    least = table(labels.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "least")
+    labels = labels.drop("rep").join(small(least), F.col("component") == F.col("of")).select("id", "component", "least")
+    named = classes.join(labels, F.col("class") == F.col("id"), "left")
+    named = named.select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "class").alias("component"), F.coalesce("least", "rep").alias("least"))
+    found = sets.join(named, (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("least", "doc_id").alias("component_id"))

@@ -84,6 +84,22 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(rows, key=str) == sorted([(4, 1, 2), (4, 1, 2), (2, 1, 2), (None, 1, 2), (None, 0, None)], key=str)
 
 
+def test_one_id_with_different_texts(spark):
+    """Each row links as a document of its own: all texts of the first case share few ids."""
+    rng = random.Random(8)
+    docs = []
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+        for _ in range(rng.randint(1, 6)):
+            docs.append((rng.randint(1, 6), " ".join(base[: rng.randint(76, 80)])))
+    sets = [shingles(t, 5) for _, t in docs]
+    root = union(range(len(docs)), [(a, b) for a in range(len(docs)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    least = {r: min(i for k, (i, _) in enumerate(docs) if root[k] == r) for r in set(root.values())}
+    want = sorted((i, len(sets[k]), least[root[k]]) for k, (i, _) in enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_classes(df, 5, (4, 5)).collect())) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5)]

@@ -61,6 +61,16 @@ def test_run_and_odd_rows(spark, sf, tmp_path):
         assert all(r["ids"][-1] == 2 for r in got)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that repeat with other texts, with the same text, and with near copies of their own."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (9, a + " z"), (5, b), (3, b), (5, c), (5, c), (6, c + " z"), (7, d), (7, d + " z"), (None, a), (1, ""), (1, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, df, "").collect()]
+    assert [x for x in got if x[0] == 7] in ([(7, d)], [(7, d + " z")])
+    assert sorted((x for x in got if x[0] != 7), key=str) == sorted([(5, a), (3, b), (5, c), (None, a), (1, ""), (1, "")], key=str)
+
+
 def test_registered(spark):
     import __spark_entry__
 
