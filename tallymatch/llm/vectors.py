@@ -2,8 +2,8 @@
 
 Equal vectors of a label become one class first. Coarse centroids and the codebooks of residual subspaces are fitted on a bounded
 sample; every class is indexed: its list is that of its nearest centroid, its code quantises the residual, and the code's error
-is kept. A query probes every list whose border to its own list is near enough: with unit vectors x and y at most r apart, y's
-list is at most r beyond the border from x, and MARGIN standard deviations of a random displacement are taken where that is less.
+is kept. A query probes every list whose border to its own list is at most r / 2 away: of unit vectors x and y at most r apart, in
+two lists, the distances to the border between these add up to r at most, so one of the two probes the other's list (lossless).
 Per list, table-lookup distances to the codes keep the members that, given their code's error, may lie within r (this loses
 none); the cosine in double precision decides. A list's members are cut into blocks and its queries into salted groups, so a
 large list means more tasks and not a larger one. Each pair is counted once for both ends, whichever of them probes the other.
@@ -26,8 +26,6 @@ from .components import components
 SAMPLE, PER_LIST, LISTS, SPACES, CODES = 16_384, 1024, 2048, 8, 256
 #: Members of a block, and queries that one task takes to it; queries compared at a time.
 BLOCK, QUERIES, BATCH = 4096, 50_000, 128
-#: Standard deviations of a random displacement across a border that probing covers.
-MARGIN = 3.0
 
 
 class Index(NamedTuple):
@@ -234,8 +232,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPL
     dims = -(-longest // SPACES) * SPACES
     fitted = fit(np.stack([unit(r, dims) for r in picked]), known.count())
     index = spark.sparkContext.broadcast(fitted)
-    far = np.sqrt(max(0.0, 2 - 2 * least))
-    reach = float(min(far, MARGIN * far / np.sqrt(longest)))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)) / 2 + 1e-9)
 
     placed = table(known.select("grp", "rep", "n", "raw").mapInArrow(thrifty(_place(index, reach)), "grp string, list int, query boolean, rep long, n long, home int, raw binary, codes binary, error double"), "placed")
     sizes = placed.groupBy("grp", "list").agg(F.count(F.when(~F.col("query"), 1)).alias("members"), F.count(F.when(F.col("query"), 1)).alias("queries"))

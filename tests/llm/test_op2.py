@@ -42,6 +42,24 @@ def test_against_brute_force(spark, monkeypatch, per_list, block):
     assert sorted(map(tuple, near_vectors(df, 0.93).collect())) == brute(rows, 0.93)
 
 
+@pytest.mark.parametrize("longer", [False, True])
+def test_pairs_across_many_borders(spark, monkeypatch, longer):
+    """64 dimensions and many lists: displacements along the borders' normals, and a longer vector elsewhere in the table."""
+    monkeypatch.setattr(vectors, "PER_LIST", 20)
+    rng = np.random.default_rng(5)
+    turn = rng.uniform(0, 2 * np.pi, 500)
+    x = np.c_[np.cos(turn), np.sin(turn), rng.normal(size=(500, 62)) * 0.003]
+    base = rng.normal(size=(60, 64))
+    near = np.repeat(base, 5, axis=0) + rng.normal(size=(300, 64)) * 0.2
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate([*x, *near])]
+    if longer:
+        rows.append((9000, [1.0] * 1024, 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    got, want = sorted(map(tuple, near_vectors(df, 0.93).collect())), brute(rows, 0.93)
+    print("links found", sum(r[1] for r in got), "of", sum(r[1] for r in want))
+    assert got == want
+
+
 def test_query_against_brute_force(spark, sf):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in queries.read(spark, sf, "embeddings").collect()]
     got = sorted(map(tuple, queries.op2_embedding_near_dedup(spark, sf).collect()))
