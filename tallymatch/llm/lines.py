@@ -4,7 +4,7 @@ Lines are counted by a 128-bit hash of their key (stripped, A-Z lower-cased); co
 shuffle, so a line that every document holds costs a row a task. The hashes of lines to drop are dealt to shards; each shard
 builds a minimal perfect hash (levels of bit arrays: a key takes a bit that no other key of the level wants) that indexes
 compact arrays of 64-bit fingerprints, counts and holders. Documents probe the arrays: in place where a count proves that all
-shards fit a fixed broadcast, else by sending each shard the distinct hashes of the documents in salted, bounded groups.
+shards fit a fixed broadcast, else by sending each shard the distinct hashes of the documents in bounded groups, as many as its own count of them asks for.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, thrifty
+from .common import small, table, thrifty
 from .shingles import mix, parts
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -211,11 +211,13 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
         held = spark.sparkContext.broadcast([tuple(r) for r in arrays.collect()])
         return documents.mapInArrow(thrifty(_clean(min_chars, min_docs, len(names), where, doc_at, held, shards)), out)
     marked = docs.withColumn("mark", F.xxhash64("text"))
-    probes = marked.mapInArrow(_lines(min_chars, True), "hi long, lo long, doc long, mark long")
-    lines = docs.select(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n")).first()["n"]
-    salts = max(1, -(-lines // (shards * GROUP)))
-    probes = probes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc", "mark"), F.lit(salts)).cast("int"))
-    dealt = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    probes = marked.mapInArrow(thrifty(_lines(min_chars, True)), "hi long, lo long, doc long, mark long")
+    probes = table(probes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")), "probes")
+    salts = table(probes.groupBy(F.col("shard").alias("of")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts")), "salts")
+    # a salt is as good as another, so rows are dealt by number: no line, document or repeated row makes a group larger
+    probes = probes.withColumn("at", F.monotonically_increasing_id()).join(small(salts), F.col("shard") == F.col("of"))
+    probes = probes.withColumn("salt", F.pmod("at", F.col("salts")).cast("int")).drop("at", "of", "salts")
+    dealt = arrays.join(small(salts), F.col("shard") == F.col("of")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("of", "salts")
     hits = dealt.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInArrow(_probe_group(min_docs), "doc long, mark long, hi long, lo long")
     hits = hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("hi", "lo")).alias("__gone")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
     joined = documents.join(hits, (F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))) == F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__mark")), "left").drop("__doc", "__mark")

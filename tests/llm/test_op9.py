@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from tallymatch.llm import lines as lines_module
 from tallymatch.llm import queries
 from tallymatch.llm.lines import PerfectHash, dedup_lines
 from tallymatch.llm.shingles import mix
@@ -45,6 +46,28 @@ def test_null_ids_repeats_and_empty(spark, keys):
     assert dedup_lines(df.limit(0), broadcast_keys=keys).collect() == []
 
 
+def test_groups_of_a_shard_with_a_hot_line_are_bounded(spark, monkeypatch):
+    """Six shards, and a line that every document holds: no group has much over GROUP probes, repeated rows included."""
+    most, whole = 120, lines_module._probe_group
+
+    def bounded(least):
+        run = whole(least)
+
+        def checked(arrays, probes):
+            assert probes.num_rows <= most, probes.num_rows
+            return run(arrays, probes)
+
+        return checked
+
+    for name, value in (("GROUP", 100), ("SHARD", 10), ("_probe_group", bounded)):
+        monkeypatch.setattr(lines_module, name, value)
+    docs = [(i, "a line of all\n" + "\n".join(f"a line number {(i * 5 + k) % 60}" for k in range(2))) for i in range(600)]
+    docs += [(1000, "a line of all\nand one of mine")] * 300
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = dedup_lines(df, 8, 5, broadcast_keys=0)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(docs, 8, 5))
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.unique(mix(np.arange(20_000, dtype=np.uint64)))
     h = PerfectHash.build(keys)
