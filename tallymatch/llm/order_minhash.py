@@ -5,6 +5,9 @@ numbered by occurrence (the n-th equal k-mer hashes to something else). The numb
 leading bits, so one pass serves all sketches. Each sketch selects its two smallest, puts them back in text order and hashes
 that tuple: moving text changes the tuples as much as changing it. A fingerprint lists the tuples of the sketches that have
 k-mers; the likeness of two fingerprints is the share of equal tuples among the sketches that either has.
+
+A limit: units are counted from the start of their run, so in a run of over UNIT characters (text without spaces, as Chinese,
+Japanese or Thai) an inserted or deleted character shifts all later units of the run, and near copies look unlike.
 """
 
 from __future__ import annotations
