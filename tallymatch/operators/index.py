@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.getters import column
 from ..plans.compile import Compiled
-from ..plans.tables import BROADCAST_ROWS
+from ..plans.tables import BROADCAST_ROWS, forget
 
+#: Masks without any key: that of IDs, and that of their entries for inverted probes.
+LONE = (0, -1)
 _WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -47,6 +49,11 @@ class RuleIndex:
         self.compiled, self.ids, self.entries, self.masks, self.keys, self.dropped, self.wide, self.single = compiled, ids, entries, masks, keys, dropped, wide, single
         self.size = entries.count()
 
+    def clean(self) -> None:
+        """Delete the index's snapshots; it and DataFrames that read it cannot be used any more."""
+        for df in (self.ids, self.entries, *self.wide.values()):
+            forget(df)
+
     # -- the probe side ---------------------------------------------------------------------------------------------
 
     def _stored_type(self, n: int) -> str:
@@ -61,31 +68,43 @@ class RuleIndex:
         kinds = {f.name: f.dataType.simpleString() for f in probes.select(*[c.alias(q) for q, c in read.items()]).schema} if read else {}
         return probes.withColumns({q: _conform(c, kinds[q], self._stored_type(int(q[3:]))) for q, c in read.items()})
 
-    def _key_values(self, asked: DataFrame) -> list[Column]:
-        """What a probe brings for each join key: a value, or the bin of its interval's start."""
+    def _key_values(self, asked: DataFrame) -> tuple[list[Column], Column]:
+        """What a probe brings for each join key (a value, or the bin of its interval's start), and the bits of intervals that end before they start."""
         from .schema import as_number
 
-        out = []
-        for n, interval in self.keys:
+        out, inverted = [], F.lit(0).cast("long")
+        for bit, (n, interval) in enumerate(self.keys):
             if interval:
                 a, b, width = interval
                 kinds = [asked.schema[f"__q{x}"].dataType.simpleString() for x in (a, b)]
                 low, high = (as_number(F.col(f"__q{x}"), k) for x, k in zip((a, b), kinds, strict=True))
                 out.append(F.when(low <= high, F.floor(low / width)))
+                inverted = inverted + F.when(low > high, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
             else:
                 out.append(F.col(f"__q{n}"))
-        return out
+        return out, inverted
 
-    def _keyed(self, asked: DataFrame) -> DataFrame:
-        """A copy of each probe for every mask whose keys it has, with the hash to join on."""
-        values = self._key_values(asked)
+    def _keyed(self, asked: DataFrame, masks: list[int]) -> DataFrame:
+        """A copy of each probe for every mask whose keys it has, with the hash to join on; inverted ones, also for the negated masks."""
+        values, inverted = self._key_values(asked)
         lacks = F.lit(0).cast("long")
         for bit, v in enumerate(values):
             lacks = lacks + F.when(v.isNull(), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))
-        masks = F.array(*[F.lit(m).cast("long") for m in self.masks]) if self.masks else F.array().cast("array<long>")
-        out = asked.withColumn("__lacks", lacks).withColumn("__m", F.explode(F.filter(masks, lambda m: m.bitwiseAND(F.col("__lacks")) == 0)))
-        own = [F.when(F.col("__m").bitwiseAND(F.lit(1 << bit).cast("long")) != 0, v) for bit, v in enumerate(values)]
-        return out.withColumn("__h", F.xxhash64("__m", *own)).drop("__lacks")
+        listed = lambda ms: F.array(*[F.lit(m).cast("long") for m in ms]) if ms else F.array().cast("array<long>")
+        out = asked.withColumns({"__lacks": lacks, "__inv": inverted})
+        own = F.filter(listed([m for m in masks if m >= 0]), lambda m: m.bitwiseAND(F.col("__lacks")) == 0)
+        if odd := [m for m in masks if m < 0]:
+            own = F.concat(own, F.when(F.col("__inv") != 0, F.filter(listed(odd), lambda m: (-1 - m).bitwiseAND(F.col("__lacks")) == 0)).otherwise(listed([])))
+        out = out.withColumn("__m", F.explode(own))
+        mask = F.when(F.col("__m") < 0, -1 - F.col("__m")).otherwise(F.col("__m"))
+        values = [F.when(mask.bitwiseAND(F.lit(1 << bit).cast("long")) != 0, v) for bit, v in enumerate(values)]
+        return out.withColumn("__h", F.xxhash64("__m", *values)).drop("__lacks")
+
+    def _all_masks(self) -> list[int]:
+        from .schema import binned_bits
+
+        bins = binned_bits(self.keys)
+        return [*self.masks, *sorted({-1 - (m & ~bins) for m in self.masks if m & bins})]
 
     # -- matching ---------------------------------------------------------------------------------------------------
 
@@ -116,19 +135,31 @@ class RuleIndex:
         condition = self.compiled.condition(self.dropped, wide, self.single, frozenset(n for n, interval in self.keys if not interval))
         if self.compiled.never or not self.masks:
             return asked.join(self.ids, F.lit(False))
-        entries = F.broadcast(self.entries) if self.size <= BROADCAST_ROWS else self.entries
-        keyed = self._keyed(asked)
-        out = keyed.join(entries, (F.col("__h") == F.col("__key")) & ((F.col("__m") - F.col("__mask")) == 0) & condition)  # one long key, so a lean hash table
-        for _, interval in self.keys:
-            if interval:  # a probe whose interval ends before it starts has no bin: it meets the binned IDs one by one
-                a, b, _ = interval
-                odd = asked.where(F.col(f"__q{a}") > F.col(f"__q{b}"))
-                bit = [k for k, (_, i) in enumerate(self.keys) if i == interval][0]
-                binned = self.entries.where((F.col("__mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0) & F.col("__main"))
-                met = odd.join(binned, condition)
-                out = out.unionByName(met, allowMissingColumns=True)
+        masks = self._all_masks()
+        if any(m < 0 for m in masks):  # a probe meets a negated entry only if a bin kept it from the ID's others
+            condition = ((F.col("__m") >= 0) | (F.col("__bins").bitwiseAND(F.col("__inv")) != 0)) & condition
+        keyed = (F.col("__h") == F.col("__key")) & ((F.col("__m") - F.col("__mask")) == 0) & condition  # one long key, so a lean hash table
+        if self.size <= BROADCAST_ROWS:
+            return self._with_wide(self._keyed(asked, masks).join(F.broadcast(self.entries), keyed))
+        lone = F.col("__mask").isin(*LONE)
+        bound, free = self.entries.where(~lone), self.entries.where(lone)
+        n = free.count()
+        out = self._keyed(asked, [m for m in masks if m not in LONE]).join(F.broadcast(bound) if self.size - n <= BROADCAST_ROWS else bound, keyed)
+        if n and n <= BROADCAST_ROWS:
+            out = out.unionByName(self._keyed(asked, [m for m in masks if m in LONE]).join(F.broadcast(free), keyed))
+        elif n:
+            out = out.unionByName(self._dealt(self._keyed(asked, [m for m in masks if m in LONE]), free, -(-n // BROADCAST_ROWS), keyed))
         return self._with_wide(out)
 
+    def _dealt(self, probes: DataFrame, free: DataFrame, blocks: int, condition: Column) -> DataFrame:
+        """Probes met with entries that have no key, too many to broadcast: blocks of entries with groups of probes, so no task gets all of either."""
+        salts = -(-2 * int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        told = [c for c, kind in probes.dtypes if "map<" not in kind and "variant" not in kind]
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        probes = probes.withColumn("__ps", F.pmod(F.xxhash64(*told), F.lit(salts)).cast("int")).withColumn("__pb", number(blocks))
+        free = free.withColumn("__eb", F.pmod(F.xxhash64("rule_ord", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("__es", number(salts))
+        return probes.join(free, (F.col("__pb") == F.col("__eb")) & (F.col("__ps") == F.col("__es")) & condition).drop("__ps", "__pb", "__es", "__eb")
+
     def _with_wide(self, out: DataFrame) -> DataFrame:
         """Pairs of probes and IDs that also hold for the sets kept apart."""
         for n, values in self.wide.items():

@@ -6,22 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.rules import Rule
-from ..plans.tables import dense_rank, snapshot
+from ..plans.tables import row_order, snapshot
 from .schema import RuleSchema
 
 
 class RankedIndex:
-    """Built from rows with a rank (higher first; equal ranks by insertion order; without one, insertion order alone)."""
+    """Built from rows with a rank (higher first, none last; equal ranks by insertion order; without a rank column, insertion order alone)."""
 
     def __init__(self, tree: Rule, rules: DataFrame, id_col: str = "rule_id", pos_col: str = "pos", rank_col: str | None = None):
-        # one order over all rows: by rank descending, then position
-        order = F.struct(F.lit(0.0).alias("r") if rank_col is None else (-F.col(rank_col).cast("double")).alias("r"), F.col(pos_col).cast("long").alias("p"))
-        rows = rules.withColumn("__order", order)
-        ranks = rows.select(F.col("__order.r").alias("r")).distinct()
-        ranks = dense_rank(ranks, "r", "n")
-        rows = rows.join(ranks, F.col("__order.r") == F.col("r")).drop("r")
-        span = rows.agg(F.max("__order.p") + 1).first()[0] or 1
-        rows = snapshot(rows.withColumn("__row", F.col("n") * F.lit(span) + F.col("__order.p")).drop("__order", "n"), "ranked")
+        by = [F.col(rank_col).desc_nulls_last()] if rank_col else []
+        rows = snapshot(row_order(rules, [*by, F.col(pos_col).asc_nulls_last()], "__row", rules.count()), "ranked")
         self.owner = rows.select(F.col("__row").alias("__key"), F.col(id_col).alias("__id"))
         self.index = RuleSchema(tree).build(rows.withColumn("__pos", F.col("__row")), "__row", "__pos")
 

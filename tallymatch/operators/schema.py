@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.getters import Operator
 from ..plans.compile import compile_rules
 from ..plans.rules import Rule
-from ..plans.tables import FEW, dense_rank, snapshot
+from ..plans.tables import FEW, dense_rank, forget, snapshot
 from .index import RuleIndex
 
 #: Values of one leaf that an ID keeps in its row; larger sets stay a table of their own.
@@ -45,7 +45,9 @@ class RuleSchema:
             ids = rows.groupBy("rule_id").agg(F.min("pos").alias("first_pos"), *[c.alias(n) for p in parts for n, c in p.kept().items()])
         else:
             ids, wide = self._large(rows)
-        return self._entries(snapshot(ids, "ids"), wide)
+        index = self._entries(snapshot(ids, "ids"), wide)
+        forget(rows)
+        return index
 
     def _validate(self, rows: DataFrame) -> int:
         """Raise for the first bad row; else the most rows that an ID has. One pass."""
@@ -105,9 +107,10 @@ class RuleSchema:
         facts += [F.max(F.size(f"r{n}_set")).alias(f"most{n}") for n in sets]
         seen = ids.agg(*facts).first()
         single = frozenset(n for n in sets if (seen[f"most{n}"] or 0) <= 1 and n not in wide)
-        ids = dense_rank(ids, "first_pos", "rule_ord", seen["ids"]).drop("first_pos")
+        first, ids = ids, dense_rank(ids, "first_pos", "rule_ord", seen["ids"]).drop("first_pos")
         if seen["ids"] > FEW:
             ids = snapshot(ids, "ids")
+            forget(first)
         for n, values in wide.items():
             wide[n] = snapshot(values.join(ids.select(F.col("rule_id").alias("__id"), "rule_ord"), F.col("rule_id").eqNullSafe(F.col("__id"))).select("rule_ord", "value"), "values")
         dropped = frozenset(p.n for p in parts if p.kind != "presence" and not seen[f"strict{p.n}"] and p.n not in wide)
@@ -118,7 +121,7 @@ class RuleSchema:
                 keys.append((seen[f"strict{p.n}"] * max(1, seen[f"values{p.n}"]), p.n, None))
         for a, b in self.compiled.intervals:
             width = seen[f"width{a}"] if f"width{a}" in seen.asDict() else None
-            if width and width > 0 and a not in dropped and b not in dropped:
+            if width and 0 < width < float("inf") and a not in dropped and b not in dropped:
                 keys.append((seen["ids"], a, (a, b, float(width))))
         keys = [k[1:] for k in sorted(keys, key=lambda k: -k[0])][:62]
         while True:
@@ -142,9 +145,10 @@ class RuleSchema:
             r = f"r{n}"
             if interval:
                 a, b, width = interval
-                low, high = number(ids, f"r{a}_end"), number(ids, f"r{b}_end")
-                size.append(F.floor(high / width) - F.floor(low / width) + 1)
-                ok.append(~F.col(f"r{a}_any") & ~F.col(f"r{b}_any") & (low <= high) & (size[-1] <= BINS))
+                low, high = (number(ids, f"r{x}_end") / width for x in (a, b))
+                binned = (low <= high) & (F.abs(low) < 2.0**53) & (F.abs(high) < 2.0**53)  # NaN is not
+                size.append(F.when(binned, F.floor(high) - F.floor(low) + 1))
+                ok.append(F.coalesce(~F.col(f"r{a}_any") & ~F.col(f"r{b}_any") & (size[-1] <= BINS), F.lit(False)))
             else:
                 size.append(F.size(f"{r}_set"))
                 kept = ~F.col(f"{r}_wide") if f"{r}_wide" in ids.columns else F.lit(True)
@@ -155,22 +159,39 @@ class RuleSchema:
         return out.withColumn("__mask", sum(bits, F.lit(0).cast("long"))).drop("__several")
 
     def _masked(self, ids: DataFrame, keys: list[tuple[int, tuple[int, int, float] | None]]) -> DataFrame:
-        """Each ID once for each combination of values that a probe could meet it with, and their hash."""
-        out = self._masks(ids, keys).withColumn("__main", F.lit(True))
+        """Each ID once for each combination of values that a probe could meet it with, and their hash.
+
+        An ID with a binned interval has further entries for probes whose interval ends before it starts, which have no bin: one
+        for each combination of its equality values alone, with the mask of these, negated (-1 - mask), and __bins, the
+        intervals that such a probe is missed by.
+        """
+        out = self._masks(ids, keys)
+        main = F.lit(True)
         for bit, (n, interval) in enumerate(keys):
             has = F.col("__mask").bitwiseAND(F.lit(1 << bit).cast("long")) != 0
             if interval:
                 a, b, width = interval
-                values = F.sequence(F.floor(number(ids, f"r{a}_end") / width), F.floor(number(ids, f"r{b}_end") / width))
+                low, high = (F.floor(number(ids, f"r{x}_end") / width) for x in (a, b))
+                values = F.sequence(low, high)
+                main = main & F.coalesce(F.col(f"__k{bit}") == low, F.lit(True))
             else:
                 values = F.col(f"r{n}_set")
             out = out.withColumn(f"__k{bit}", F.explode_outer(F.when(has, values)))
-            if interval:  # one entry of an ID stands for it where bins do not count
-                out = out.withColumn("__main", F.coalesce(F.col(f"__k{bit}") == F.floor(number(ids, f"r{interval[0]}_end") / interval[2]), F.lit(True)))
+        bins = binned_bits(keys)
+        if bins:
+            kinds = F.when((F.col("__bins") != 0) & main, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+            out = out.withColumn("__bins", F.col("__mask").bitwiseAND(F.lit(bins).cast("long"))).withColumn("__odd", F.explode(kinds))
+            out = out.withColumn("__mask", F.when(F.col("__odd"), -1 - F.col("__mask").bitwiseAND(F.lit(~bins).cast("long"))).otherwise(F.col("__mask")))
+            out = out.withColumns({f"__k{bit}": F.when(~F.col("__odd"), F.col(f"__k{bit}")) for bit, (_, interval) in enumerate(keys) if interval}).drop("__odd")
         key = F.xxhash64("__mask", *[F.col(f"__k{bit}") for bit in range(len(keys))])
         return out.withColumn("__key", key).drop(*[f"__k{bit}" for bit in range(len(keys))])
 
 
+def binned_bits(keys: list) -> int:
+    """The bits of a mask that stand for intervals."""
+    return sum(1 << bit for bit, (_, interval) in enumerate(keys) if interval)
+
+
 def is_number(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.simpleString() in ("bigint", "double", "date", "timestamp", "timestamp_ntz")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Index rows that may be broadcast; more are shuffled. Rows that one task may rank; more are ranked in buckets.
+#: Index rows that may be broadcast; more are shuffled. Rows that one task may rank; more are ranked in ranges.
 BROADCAST_ROWS, FEW = 250_000, 100_000
 
 
@@ -30,21 +31,45 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dense_rank(df: DataFrame, by: str, out: str, rows: int | None = None) -> DataFrame:
-    """df with the dense rank of a column from 0: by quantile buckets, so that no window spans the table, unless it has few rows."""
+def forget(df: DataFrame) -> None:
+    """Delete the snapshot that df reads (df must be a snapshot as it was returned)."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if re.search(r"/tallymatch/[a-z]+-[0-9a-f]{32}$", path.toString()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_order(df: DataFrame, by: list[Column], out: str, rows: int | None = None) -> DataFrame:
+    """df with each row's place from 0 in the order by (any sortable types); ties by the other columns, so equal rows only are dealt at will.
+
+    Rows are dealt by ranges of the order, and the ranges numbered on by their counts (one long a range reaches the driver); so no
+    window spans the table, unless it has few rows.
+    """
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    order = [*by, F.xxhash64(*plain)]
     if rows is not None and rows <= FEW:
-        return df.withColumn(out, (F.dense_rank().over(Window.orderBy(by)) - 1).cast("long"))
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    bucket = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda acc, b: acc + (F.col(by) > b).cast("int")) if bounds else F.lit(0)
-    df = df.withColumn("__bucket", bucket)
-    sizes = sorted((r[0], r[1]) for r in df.groupBy("__bucket").agg(F.count_distinct(by)).collect())
-    before, total = {}, 0
-    for b, size in sizes:
-        before[b], total = total, total + size
-    if not before:
-        return df.withColumn(out, F.lit(0).cast("long")).drop("__bucket")
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__bucket"))
-    rank = F.dense_rank().over(Window.partitionBy("__bucket").orderBy(by))
-    return df.withColumn(out, (base + rank - 1).cast("long")).drop("__bucket")
+    # numbered from a snapshot, so that a task that is run again numbers alike
+    first = snapshot(df, "unordered")
+    dealt = first.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *order, "__tie").withColumn("__range", F.spark_partition_id())
+    dealt = snapshot(dealt, "ordered")
+    forget(first)
+    sizes = dict(map(tuple, dealt.groupBy("__range").count().collect()))
+    before = [sum(sizes.get(k, 0) for k in range(r)) for r in range(n)]
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__tie")) - 1
+    return dealt.withColumn(out, (F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range")) + place).cast("long")).drop("__range", "__tie")
+
+
+def dense_rank(df: DataFrame, by: str, out: str, rows: int | None = None) -> DataFrame:
+    """df with the dense rank of a column of any sortable type from 0, nulls last: its distinct values are put in row order."""
+    if rows is not None and rows <= FEW:
+        return df.withColumn(out, (F.dense_rank().over(Window.orderBy(F.col(by).asc_nulls_last())) - 1).cast("long"))
+    values = df.select(F.col(by).alias("__value")).distinct()
+    ordered = row_order(values, [F.col("__value").asc_nulls_last()], out)
+    ranks = snapshot(ordered, "ranks")
+    forget(ordered)
+    if ranks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        ranks = F.broadcast(ranks)
+    return df.join(ranks, F.col(by).eqNullSafe(F.col("__value"))).drop("__value")

@@ -16,6 +16,7 @@ from .functions.getters import version
 from .operators.ranked import RankedIndex
 from .operators.schema import RuleSchema
 from .plans import rules as R
+from .sources.tables import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,7 +78,7 @@ def veto(name: str, probe: str) -> str:
 
 
 def by(value: str, op: str) -> str:
-    tests = " ".join(f"WHEN {i} THEN p.{value} {o} r.{value}" for i, o in enumerate(("=", "<", "<=", ">", ">=")))
+    tests = " ".join(f"WHEN {i} THEN p.{value} {o} r.{value}" for i, o in enumerate(("=", "<", "<=", ">", ">=", "<>")))
     return f"bool_or(r.{value} IS NULL OR CASE r.{op} {tests} END)"
 
 
@@ -86,6 +87,11 @@ SHARED = X.SUPPLIER_RULES.format(id="s_suppkey % 30")
 PART = X.PART_RULES.format(id="p_partkey")
 PART_SHARED = X.PART_RULES.format(id="p_partkey % 300")
 
+#: Narrow intervals, of two kinds, and probes that are inverted in both, one or none of them.
+TWO_RULES = lambda n: f"""SELECT pos, pos % {n} AS rule_id, segment, nation, low, high, CASE WHEN pos % 7 <> 1 THEN CAST(pos % 13 AS INT) END AS low2, CASE WHEN pos % 5 <> 1 THEN CAST(pos % 13 + 2 AS INT) END AS high2 FROM ({X.SUPPLIER_RULES.format(id='s_suppkey')}) s"""
+TWO_PROBES = f"""SELECT probe_id, segment, nation, low, CAST(low + probe_id % 4 - 2 AS INT) AS high, CAST(probe_id % 11 AS INT) AS low2, CAST(probe_id % 11 + probe_id % 3 - 1 AS INT) AS high2 FROM ({X.CUSTOMER_PROBES}) c"""
+TWO_SQL = [cmp("low", ">="), cmp("high", "<="), cmp("low2", ">="), cmp("high2", "<=")]
+
 SEVEN = lambda: R.All(R.Include("segment"), R.Include("nation"), R.GreaterOrEqual("min_total"), R.Between("from_mi", "until_mi"), R.CompareBy("cmp_value", "cmp_op"), R.Exclude("priority"))
 SEVEN_NESTED = lambda: R.All(R.All(R.Include("segment"), R.All(R.Include("nation"))), R.GreaterOrEqual("min_total"), R.All(R.Between("from_mi", "until_mi"), R.All(R.CompareBy("cmp_value", "cmp_op"), R.Exclude("priority"))))
 SEVEN_SQL = [eq("segment"), eq("nation"), cmp("min_total", ">="), cmp("from_mi", ">="), cmp("until_mi", "<="), by("cmp_value", "cmp_op"), veto("priority", "priority")]
@@ -106,6 +112,10 @@ CASES: dict[str, Case] = {
     "between_covering": RowCase(lambda: R.All(R.Include("segment"), R.Between("low", "high")), [eq("segment"), cmp("low", ">="), cmp("high", "<=")]),
     "between_open_bounds": RowCase(lambda: R.Between("low", "high"), [cmp("low", ">="), cmp("high", "<=")]),
     "between_repeated_id": Case(lambda: R.Between("low", "high"), [cmp("low", ">="), cmp("high", "<=")], SHARED),
+    "between_inverted_repeated_id": Case(lambda: R.All(R.Include("segment"), R.Between("low", "high")), [eq("segment"), cmp("low", ">="), cmp("high", "<=")], TWO_RULES(70), TWO_PROBES),
+    "between_two": RowCase(lambda: R.All(R.Between("low", "high"), R.Between("low2", "high2")), TWO_SQL, TWO_RULES(1_000_000), TWO_PROBES),
+    "between_two_repeated_id": Case(lambda: R.All(R.Include("nation"), R.Between("low", "high"), R.Between("low2", "high2")), [eq("nation"), *TWO_SQL], TWO_RULES(70), TWO_PROBES),
+    "compare_by_not_equal": Case(lambda: R.CompareBy("value", "op"), [by("value", "op")], SHARED.replace("% 5 AS INT) AS op", "% 6 AS INT) AS op")),
     "compare_by": RowCase(lambda: R.CompareBy("value", "op"), [by("value", "op")]),
     "all_flat": RowCase(SEVEN, SEVEN_SQL, PART, X.ORDER_PROBES),
     "all_nested": RowCase(SEVEN_NESTED, SEVEN_SQL, PART, X.ORDER_PROBES),
@@ -188,6 +198,21 @@ def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, False)
 
 
+_RANKED_NULLS_SQL = _RANKED_SQL.replace("coalesce(value, -1) DESC", "value DESC NULLS LAST")
+
+
+def ranked_missing_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a rank come after all others, in insertion order."""
+    return RankedIndex(_RANKED_TREE(), views(spark, sf_dir, SHARED), rank_col="value").match(views(spark, sf_dir, X.CUSTOMER_PROBES), "probe_id")
+
+
+def numbered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules put in order by a string with nulls and a number; ties do not occur in the fixture."""
+    rules = views(spark, sf_dir, SHARED).withColumnRenamed("pos", "key")
+    found = RuleSchema(R.Include("nation")).build(numbered(rules, "segment", "key")).match(views(spark, sf_dir, X.CUSTOMER_PROBES))
+    return found.select("probe_id", "rule_id", "rule_ord")
+
+
 def ranked_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-ranked match alone."""
     return _ranked(spark, sf_dir, True)
@@ -203,6 +228,8 @@ _MORE: dict[str, tuple[Query, str]] = {
     "single_search": (single_search, _FEW._replace(probes="SELECT 0 AS probe_id, 'BUILDING' AS segment, 3 AS nation, 9 AS low, 10 AS high, 4 AS value").sql("SELECT rule_id, rule_ord FROM matches")),
     "local_dedup": (local_dedup, _FEW.sql()),
     "ranked_results": (ranked_results, _RANKED_SQL + "SELECT probe_id, rule_id, rank_ord FROM found"),
+    "ranked_missing_ranks": (ranked_missing_ranks, _RANKED_NULLS_SQL + "SELECT probe_id, rule_id, rank_ord FROM found"),
+    "numbered_rules": (numbered_rules, Case(None, [eq("nation")], f"SELECT row_number() OVER (ORDER BY segment NULLS LAST, pos) AS pos, * EXCLUDE (pos) FROM ({SHARED}) s").sql()),
     "ranked_match": (ranked_match, _RANKED_SQL + "SELECT probe_id, rule_id, rank_ord FROM found QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY rank_ord) = 1"),
 }
 

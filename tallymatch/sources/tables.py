@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +24,15 @@ def zip_rules(spark: SparkSession, constraints: Iterable[tuple | dict], ids: Ite
     return spark.createDataFrame(rows, full)
 
 
-def numbered(rules: DataFrame, *by: str) -> DataFrame:
-    """rules with pos by an explicit order; rows of a table have none of their own."""
-    from ..plans.tables import dense_rank
+def numbered(rules: DataFrame, *by: str | Column) -> DataFrame:
+    """rules with pos by an explicit order; rows of a table have none of their own.
 
-    return dense_rank(rules.withColumn("__by", F.struct(*by)), "__by", "pos").drop("__by") if len(by) > 1 else dense_rank(rules, by[0], "pos")
+    by: columns of any sortable types, ascending with nulls last unless they say otherwise. pos is an order of the rows: ties are
+    ordered by the other columns.
+    """
+    from ..plans.tables import row_order
+
+    return row_order(rules, [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in by], "pos")
 
 
 def save_index(index: RuleIndex, path: str) -> None:

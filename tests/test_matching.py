@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tallymatch import All, AnyOf, Between, CompareBy, Exclude, Exists, Greater, GreaterOrEqual, Include, Less, LessOrEqual, Operator, RankedIndex, RuleSchema, load_index, numbered, save_index, truncated, version, zip_rules
+from tallymatch.operators import index as index_module
 from tallymatch.operators import schema as schema_module
+from tallymatch.plans import tables as tables_module
 from tallymatch.operators.schema import InvalidRule
 
 OPS = [operator.eq, operator.lt, operator.le, operator.gt, operator.ge, operator.ne]
@@ -211,30 +213,62 @@ def test_numbered(spark):
     assert {r["rule_id"]: r["pos"] for r in numbered(df, "k").collect()} == {"a": 0, "b": 1, "c": 2}
 
 
+def test_numbered_by_any_types(spark, monkeypatch):
+    rows = [(None, 2, "n"), ("b", 1, "x"), ("a", None, "y"), ("a", 1, "z"), ("b", 1, "w"), ("b", 1, "w")]
+    df = spark.createDataFrame(rows, "k string, j int, rule_id string")
+    for few in (100_000, 0):
+        monkeypatch.setattr(tables_module, "FEW", few)
+        found = sorted((r["pos"], r["k"], r["j"]) for r in numbered(df, "k", "j").collect())
+        assert [f[0] for f in found] == list(range(6))
+        assert [f[1:] for f in found] == [("a", 1), ("a", None), ("b", 1), ("b", 1), ("b", 1), (None, 2)]
+        found = sorted((r["r"], r["k"]) for r in tables_module.dense_rank(df, "k", "r", 6).collect())
+        assert [f for f in found] == [(0, "a"), (0, "a"), (1, "b"), (1, "b"), (1, "b"), (2, None)]
+        assert [r["pos"] for r in numbered(df.where("false"), "k").collect()] == []
+        back = {r["rule_id"]: r["pos"] for r in numbered(df, F.col("k").desc_nulls_first(), "j", "rule_id").collect()}
+        assert (back["n"], back["x"], back["y"]) == (0, 3, 5)
+
+
+def test_large_index_by_ranges(spark, monkeypatch):
+    """Above FEW rows nothing is ranked in one task; the results are the same."""
+    monkeypatch.setattr(schema_module, "FEW", 10)
+    monkeypatch.setattr(tables_module, "FEW", 10)
+    rows = [(i % 7 or None, i % 11) for i in range(200)]
+    ix = RuleSchema(All(Include("a"), GreaterOrEqual("m"))).build(zip_rules(spark, rows, [i % 90 for i in range(200)], "a int, m int"))
+    assert sorted(r["rule_ord"] for r in ix.ids.collect()) == list(range(90))
+    assert {r["rule_id"]: r["rule_ord"] for r in ix.ids.collect()} == {i: i for i in range(90)}
+    ix.clean()
+
+
 # -- against a model ----------------------------------------------------------------------------------------------------
 
-FIELDS = "a int, b string, m int, f int, u int, v int, op tinyint, x int"
-TREE = lambda: All(Include("a"), Include("b"), All(GreaterOrEqual("m"), Between("f", "u")), CompareBy("v", "op"), Exclude("x"))
+FIELDS = "a int, b string, m int, f int, u int, g int, w int, v int, op tinyint, x int"
+NAMES = ("a", "b", "m", "f", "u", "g", "w", "v", "op", "x")
+TREE = lambda: All(Include("a"), Include("b"), All(GreaterOrEqual("m"), Between("f", "u"), Between("g", "w")), CompareBy("v", "op"), Exclude("x"))
 
 
 def model(rows, probe):
     """The definition: leaf by leaf, some row of the ID."""
     ids: dict = {}
     for r in rows:
-        ids.setdefault(r[0], []).append(dict(zip(("a", "b", "m", "f", "u", "v", "op", "x"), r[1:], strict=True)))
+        ids.setdefault(r[0], []).append(dict(zip(NAMES, r[1:], strict=True)))
     out = []
     for place, (i, own) in enumerate(ids.items()):
         some = lambda n, ok: any(r[n] is None or probe[n] is not None and ok(probe[n], r[n], r) for r in own)  # noqa: B023, E731
         good = some("a", lambda p, s, r: p == s) and some("b", lambda p, s, r: p == s) and some("m", lambda p, s, r: p >= s)
-        good = good and some("f", lambda p, s, r: s <= p) and some("u", lambda p, s, r: p <= s) and some("v", lambda p, s, r: OPS[r["op"]](p, s))
+        good = good and some("f", lambda p, s, r: s <= p) and some("u", lambda p, s, r: p <= s) and some("g", lambda p, s, r: s <= p) and some("w", lambda p, s, r: p <= s)
+        good = good and some("v", lambda p, s, r: OPS[r["op"]](p, s))
         if good and not any(r["x"] is not None and r["x"] == probe["x"] for r in own):
             out.append((probe["id"], i, place))
     return out
 
 
-@pytest.mark.parametrize(("n", "ids", "missing", "large"), [(150, 1000, 0.25, 1000), (300, 50, 0.2, 1000), (400, 12, 0.02, 4), (300, 40, 0.5, 1000)])
-def test_random_rules_against_the_model(spark, monkeypatch, n, ids, missing, large):
+CASES = [(150, 1000, 0.25, 1000, 250_000), (300, 50, 0.2, 1000, 250_000), (400, 12, 0.02, 4, 250_000), (300, 40, 0.5, 1000, 250_000), (300, 120, 0.04, 1000, 250_000), (300, 120, 0.08, 1000, 40), (60, 20, 0.04, 1000, 3)]
+
+
+@pytest.mark.parametrize(("n", "ids", "missing", "large", "broadcast"), CASES)
+def test_random_rules_against_the_model(spark, monkeypatch, n, ids, missing, large, broadcast):
     monkeypatch.setattr(schema_module, "SET_VALUES", large)
+    monkeypatch.setattr(index_module, "BROADCAST_ROWS", broadcast)
     rng = random.Random(n + ids)
     may = lambda x: None if rng.random() < missing else x
 
@@ -242,12 +276,19 @@ def test_random_rules_against_the_model(spark, monkeypatch, n, ids, missing, lar
         a = rng.randrange(40)
         return may(a), may(a + rng.randrange(9))
 
-    rows = [(rng.randrange(ids), may(rng.randrange(9)), may(rng.choice("wxyz")), may(rng.randrange(20)), *span(), may(rng.randrange(10)), rng.randrange(6), may(rng.randrange(25))) for _ in range(n)]
-    probes = [dict(id=i, a=may(rng.randrange(9)), b=may(rng.choice("wxyz")), m=may(rng.randrange(20)), f=may(rng.randrange(40)), u=may(rng.randrange(45)), v=may(rng.randrange(10)), x=may(rng.randrange(25))) for i in range(150)]
+    rows = [(rng.randrange(ids), may(rng.randrange(4)), may(rng.choice("wxy")), may(rng.randrange(20)), *span(), *span(), may(rng.randrange(10)), rng.randrange(6), may(rng.randrange(25))) for _ in range(n)]
+    probe = lambda i: dict(id=i, a=may(rng.randrange(4)), b=may(rng.choice("wxy")), m=may(20), f=may(rng.randrange(40)), u=may(rng.randrange(45)), g=may(rng.randrange(40)), w=may(rng.randrange(45)), v=may(rng.randrange(10)), x=may(rng.randrange(25)))
+    probes = [probe(i) for i in range(150)]
+    for p in probes[::2]:  # probes made to meet a rule, a third of them inverted in one interval or both
+        own = rows[rng.randrange(n)]
+        p |= {k: v for k, v in zip(NAMES[:2], own[1:3], strict=True) if v is not None}
+        for (lo, hi), at in ((("f", "u"), 4), (("g", "w"), 6)):
+            if own[at] is not None and own[at + 1] is not None:
+                p[lo], p[hi] = (own[at + 1], own[at]) if rng.random() < 0.4 else (own[at], own[at + 1])
     ix = RuleSchema(TREE()).build(zip_rules(spark, [r[1:] for r in rows], [r[0] for r in rows], FIELDS))
-    df = spark.createDataFrame([tuple(p.values()) for p in probes], "id long, a int, b string, m int, f int, u int, v int, x int")
+    df = spark.createDataFrame([tuple(p.values()) for p in probes], "id long, a int, b string, m int, f int, u int, g int, w int, v int, x int")
     want = sorted(m for p in probes for m in model(rows, p))
-    assert bool(ix.wide) == (large == 4)
+    assert bool(ix.wide) == (large == 4) and want
     for dedup in (False, True):
         assert sorted((r["id"], r["rule_id"], r["rule_ord"]) for r in ix.match(df, dedup=dedup).collect()) == want
     for p in probes[:4]:
@@ -264,6 +305,46 @@ def test_random_rules_against_the_model(spark, monkeypatch, n, ids, missing, lar
     assert sorted((r["id"], r["rule_id"]) for r in ix.first_k(df, "id", 2).collect()) == sorted((i, x) for i, r in first.items() for x in r[:2])
 
 
+def test_inverted_probes_meet_an_id_once(spark):
+    both = All(Include("k"), Between("lo", "hi"))
+    rows = [(1, 0, 4), (2, 0, 4), (1, 0, 4), (3, 0, 4)]
+    ix = RuleSchema(both).build(zip_rules(spark, rows, [7, 7, 8, 8], "k int, lo int, hi int"))
+    probes = spark.createDataFrame([(1, 3, 2)], "k int, lo int, hi int")
+    assert [r["rule_id"] for r in ix.match(probes).orderBy("rule_ord").collect()] == [7, 8] == ix.search(k=1, lo=3, hi=2)
+    plan = ix.match(probes)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    two = RuleSchema(All(Between("a", "b"), Between("c", "d"))).build(zip_rules(spark, [(0, 4, 0, 4), (1, 5, 1, 5)], [0, 1], "a int, b int, c int, d int"))
+    for probe in [(3, 2, 3, 2), (3, 2, 2, 3), (2, 3, 3, 2), (2, 3, 2, 3)]:
+        found = two.match(spark.createDataFrame([probe], "a int, b int, c int, d int")).orderBy("rule_ord").collect()
+        assert [r["rule_id"] for r in found] == [0, 1], probe
+
+
+def test_bounds_that_no_bin_holds(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0.0, 1.0), (5.0, nan), (-inf, 3.0), (2.0, inf), (1e300, 1e301), (1.0, 2.0)]
+    ix = RuleSchema(Between("lo", "hi")).build(zip_rules(spark, rows, range(6), "lo double, hi double"))
+    probes = [(0, 1.0, 1.0), (1, 100.0, 100.0), (2, nan, nan), (3, 1e300, 1e300), (4, -inf, inf)]
+    above = lambda a, b: a != a or b == b and a >= b
+    want = [(p[0], k) for p in probes for k, r in enumerate(rows) if above(p[1], r[0]) and above(r[1], p[2])]
+    got = ix.match(spark.createDataFrame(probes, "id int, lo double, hi double")).collect()
+    assert sorted((r["id"], r["rule_id"]) for r in got) == want
+
+
+def test_entries_without_keys_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Orders alone: every probe meets every entry, in blocks, so that no task reads all probes or all entries."""
+    monkeypatch.setattr(index_module, "BROADCAST_ROWS", 50)
+    ix = RuleSchema(GreaterOrEqual("m")).build(zip_rules(spark, [(i,) for i in range(200)], range(200), "m int"))
+    probes = spark.range(400).selectExpr("id", "CAST(id AS INT) AS m")
+    assert ix.match(probes).count() == sum(min(i + 1, 200) for i in range(400))
+    plan = ix.match(probes)._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    keys = ix._keyed(ix._asked(probes), [0])
+    dealt = ix._dealt(keys, ix.entries, 4, F.lit(True)).select("id", "rule_id", F.col("__h"))
+    assert dealt.count() == 400 * 200
+    groups = ix._dealt(keys, ix.entries, 4, F.lit(True))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__ps" in groups and "__pb" in groups
+
+
 def test_many_masks_fall_back_to_residual_conditions(spark):
     rng = random.Random(3)
     names = [f"v{i}" for i in range(16)]
@@ -285,6 +366,8 @@ def test_ranked(spark):
     ranked = lambda df: [(r["id"], r["rule_id"]) for r in df.orderBy("id", "rank_ord").collect()]
     assert ranked(ix.match(probes, "id")) == [(1, 10), (1, 20), (2, 20), (2, 10), (3, 30), (3, 10), (4, 10)]
     assert ranked(ix.match(probes, "id", first=True)) == [(1, 10), (2, 20), (3, 30), (4, 10)]
+    nulls = RankedIndex(tree, rows.withColumn("rank", F.when(F.col("rank") < 10, F.col("rank"))), rank_col="rank")
+    assert ranked(nulls.match(probes, "id")) == [(1, 10), (1, 20), (2, 10), (2, 20), (3, 10), (3, 30), (4, 10)]
     plain = RankedIndex(tree, rows)
     assert ranked(plain.match(probes, "id", first=True)) == [(1, 10), (2, 10), (3, 10), (4, 10)]
 
