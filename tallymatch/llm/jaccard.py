@@ -10,8 +10,10 @@
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
    members whose components still differ, in columns where pivots did not meet everyone; so a group of near copies costs about its size, not its square. A column of more
    than BLOCK rows is dealt to blocks of about that size, and only the rows that all others must meet visit every block.
-4. Surviving pairs meet with their whole sets: each pivot's row is multiplied with the rows of its partners, streamed in
-   blocks, and the exact overlap count decides in integers.
+4. The whole rows of the incidence matrix of documents in surviving pairs are written once. Pivots are dealt to row blocks;
+   each block is multiplied with the rows that have a pair in it, streamed in batches: the product accumulates the overlap
+   count of every (row, column) of block and batch, gram by gram, and cells below the least overlap that their two sizes ask
+   for are discarded. So the counts are exact, in integers.
 5. Links become components by large-star and small-star steps.
 """
 
@@ -39,8 +41,8 @@ WIDE = 16
 #: Rows of a column beyond which it is split, visitors that meet a split column's rows at a time, and how many times the mean
 #: count of a cell makes its shingles hot: these are split before their columns are known.
 BLOCK, VISITORS, HOT = 4096, 8192, 4
-#: Partners of one pivot that a task streams at most.
-PARTNERS = 2048
+#: Pivots of a row block, pairs that one task takes for a block, and cells and increments of a product that are held at a time.
+ROWS, PAIRS, CELLS_AT_ONCE = 128, 8192, 1 << 21
 
 _U = np.uint64
 
@@ -253,48 +255,117 @@ def _candidates(num: int, den: int, pivots: int | None):
 
 
 def _sets(n: int):
-    schema = pa.schema([("i", pa.int64()), ("salt", pa.int32()), ("j", pa.int64()), ("grams", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for whole in batches for x in parts(whole, 3)):
-            yield _rows(schema, [*batch.columns[:3], [s.tobytes() for s in shingle_sets(batch.column(3), n)]])
+        for batch in (x for whole in batches for x in parts(whole, 1)):
+            yield _rows(schema, [batch.column(0), [s.tobytes() for s in shingle_sets(batch.column(1), n)]])
 
     return run
 
 
-def _verify(num: int, den: int):
+class _RowBlock:
+    """Some rows of the incidence matrix by gram, and what the product with other rows has linked them with."""
+
+    def __init__(self, rows: dict[int, np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.id, self.n = np.array(list(rows)), np.array([len(g) for g in rows.values()])
+        flat, row = np.concatenate(list(rows.values())), np.repeat(np.arange(len(rows)), self.n)
+        order = np.argsort(flat, kind="stable")
+        self.row = row[order]
+        self.gram, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
+        self.parent = list(range(len(rows)))
+
+    def product(self, others: list[np.ndarray]) -> np.ndarray:
+        """Overlap counts, others x rows of the block: for each gram of the others, one for each row of the block that has it."""
+        flat, other = np.concatenate(others), np.repeat(np.arange(len(others)), [len(g) for g in others])
+        at = np.searchsorted(self.gram, flat)
+        at[at == len(self.gram)] = 0
+        hit = self.gram[at] == flat
+        at, other = at[hit], other[hit]
+        times = self.times[at]
+        upto = np.cumsum(times)
+        counts = np.zeros(len(others) * len(self.id), np.int64)
+        k = 0
+        while k < len(at):
+            stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + CELLS_AT_ONCE, "right")))
+            t = times[k:stop]
+            inner = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+            counts += np.bincount(np.repeat(other[k:stop], t) * len(self.id) + self.row[np.repeat(self.first[at[k:stop]], t) + inner], minlength=len(counts))
+            k = stop
+        return counts.reshape(len(others), -1)
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def links(self, ids: list[int], others: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links of the others with rows of the block, without those that links found before already imply."""
+        overlap, sizes = self.product(others), np.array([len(g) for g in others])
+        who = np.array(ids)
+        linked = (overlap > 0) & (overlap >= _needed(self.num, self.den, sizes[:, None], self.n[None, :])) & (who[:, None] != self.id[None, :])
+        out, last = [], None
+        for o, i in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            if o != last:
+                out.append((ids[o], int(self.id[i])))
+                last, top = o, self.root(i)
+            elif (own := self.root(i)) != top:
+                self.parent[own] = top
+                out.append((ids[o], int(self.id[i])))
+        return out
+
+
+def _multiply(num: int, den: int):
+    """Rows sorted by block: its own first, then those it is multiplied with."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, row = None, np.empty(0, np.uint64)
+        key, own, block, ids, others, held, out = None, {}, None, [], [], 0, []
+
+        def drain() -> None:
+            nonlocal block, ids, others, held
+            if ids and own:
+                block = block or _RowBlock(own, num, den)
+                out.extend(block.links(ids, others))
+            ids, others, held = [], [], 0
+
         for batch in batches:
-            src, dst = [], []
-            for i, j, grams in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                own = np.frombuffer(grams, np.uint64)
-                if j is None:
-                    pivot, row = i, own
-                elif pivot == i and len(row) and len(own):
-                    at = np.searchsorted(row, own)
-                    at[at == len(row)] = 0
-                    overlap = int((row[at] == own).sum())
-                    if den * overlap >= num * (len(row) + len(own) - overlap):
-                        src.append(i)
-                        dst.append(j)
-            yield _rows(schema, [src, dst])
+            for blk, salt, visits, doc, grams in zip(*(batch.column(c).to_pylist() for c in ("blk", "salt", "visits", "doc", "grams")), strict=True):
+                if (blk, salt) != key:
+                    drain()
+                    key, own, block = (blk, salt), {}, None
+                row = np.frombuffer(grams, np.uint64)
+                if not visits:
+                    own[doc] = row
+                    continue
+                ids.append(doc)
+                others.append(row)
+                held += len(row)
+                if held >= CELLS_AT_ONCE // 4 or len(ids) * len(own) >= CELLS_AT_ONCE:
+                    drain()
+            if len(out) >= 50_000:
+                yield _rows(schema, list(zip(*out, strict=True)))
+                out = []
+        drain()
+        if out:
+            yield _rows(schema, list(zip(*out, strict=True)))
 
     return run
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (i, j) of classes whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    salted = pairs.select("i", "j", F.pmod(F.xxhash64("j"), F.ceil(F.col("many") / PARTNERS)).cast("int").alias("salt"))
-    asked = salted.select(F.col("j").alias("id"), "i", "salt", "j").union(salted.select("i", "salt").distinct().select(F.col("i").alias("id"), "i", "salt", F.lit(None).cast("long")))
-    asked = asked.join(reps, F.col("id") == F.col("class")).select("rep", "rep_hash", "i", "salt", "j")
-    rows = docs.join(small(table(asked, "asked")), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("i", "salt", "j", "text")
-    rows = rows.mapInArrow(thrifty(_sets(n)), "i long, salt int, j long, grams binary")
-    rows = rows.repartition(partitions(spark), "i", "salt").sortWithinPartitions("i", "salt", F.col("j").asc_nulls_first())
-    return rows.mapInArrow(thrifty(_verify(num, den)), "src long, dst long")
+def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of classes that join what the pairs (i, j) of classes join whose whole sets reach the threshold."""
+    spark = sets.sparkSession
+    blocks = max(partitions(spark), -(-pairs.select("i").distinct().count() // ROWS))
+    pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(blocks)).cast("int"))
+    salts = pairs.groupBy(F.col("blk").alias("b")).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
+    pairs = pairs.join(small(table(salts, "salts")), F.col("blk") == F.col("b")).withColumn("salt", F.pmod(F.xxhash64("j"), F.col("salts")).cast("int"))
+    asked = pairs.select("blk", "salt", F.lit(False).alias("visits"), F.col("i").alias("doc")).union(pairs.select("blk", "salt", F.lit(True), "j")).distinct()
+    rows = asked.join(sets, F.col("doc") == F.col("class")).select("blk", "salt", "visits", "doc", "grams")
+    rows = rows.repartition(partitions(spark), "blk", "salt").sortWithinPartitions("blk", "salt", "visits")
+    return rows.mapInArrow(thrifty(_multiply(num, den)), "src long, dst long")
 
 
 def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -302,8 +373,8 @@ def jaccard_classes(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
 
     Returns doc_id, n_shingles (set size) and component_id (smallest doc_id reachable by links, itself included), one row
     per row of documents. A text of fewer words is one shingle; null texts and texts without words have none and link with
-    nothing. Equal sets always link. Rows that repeat a doc_id count as documents of their own; a null doc_id belongs to the
-    component of its set. An empty table gives no rows; other columns of documents are ignored.
+    nothing. Equal sets always link. Rows that repeat a doc_id count as documents of their own. A row with a null doc_id links
+    like any other but names no component: one of null ids alone has a null component_id. An empty table gives no rows; other columns of documents are ignored.
     """
     return jaccard_groups(documents, n, threshold).select("doc_id", "n_shingles", "component_id")
 
@@ -319,20 +390,25 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     for chunk, counts in profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary").collect():
         cells[chunk * (CELLS // CHUNKS) : (chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(counts, np.uint64)
     sets = profile.where("chunk is null").select("doc_id", "text_hash", "n", "k1", "k2")
-    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"))
+    classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep_hash"))
     classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    reps = classes.where("rep is not null").select("class", "rep", "rep_hash", F.col("n").alias("n_rep"))
+    reps = classes.select("class", "rep", "rep_hash", F.col("n").alias("n_rep"))
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    repeated = not sets.where("n > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()  # rows that agree in id and text
 
     counts = spark.sparkContext.broadcast(cells)
     prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, text_hash long, grams array<long>, hot array<boolean>, parity binary")
-    prefix = prefix.join(reps, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("class", "n_rep", "grams", "hot", "parity")
-    prefix = table(prefix.dropDuplicates(["class"]), "prefix")
+    prefix = prefix.join(reps, is_rep).select("class", "n_rep", "grams", "hot", "parity")
+    prefix = table(prefix.dropDuplicates(["class"]) if repeated else prefix, "prefix")
     rows = prefix.select("class", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
     salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("class"), F.lit(partitions(spark)))).otherwise(0).cast("int")
     rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("class").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
     shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
     parity = prefix.select(F.col("class").alias("id"), "parity")
+    paired = table(shared.select(F.col("doc").alias("id")).distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash"), "paired")
+    whole = docs.join(small(paired), is_rep).select("class", "text").mapInArrow(thrifty(_sets(n)), "class long, grams binary")
+    whole = table(whole.dropDuplicates(["class"]) if repeated else whole, "whole")
     large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
@@ -351,17 +427,15 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
         grams = grams.withColumn("salt", F.explode(F.when(visits, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
         grams = grams.withColumn("away", F.col("salt") != F.col("home")).join(parity, F.col("doc") == F.col("id"))
         grams = grams.select("gram", "salt", "away", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", "away")
-        pairs = table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
-        many = pairs.groupBy(F.col("i").alias("ii")).agg(F.count("*").alias("many"))
-        return pairs.join(many, F.col("i") == F.col("ii")).select("i", "j", "many")
+        return table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
 
-    links = table(_links(docs, reps, met(None, PIVOTS), n, num, den), "links")
+    links = table(_links(whole, met(None, PIVOTS), num, den), "links")
     labels = table(components(links), "labels")
-    links = table(links.union(_links(docs, reps, met(labels, None), n, num, den)), "links")
+    links = table(links.union(_links(whole, met(labels, None), num, den)), "links")
     labels = table(components(links), "labels").join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")
     least = table(labels.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "least")
     labels = labels.drop("rep").join(small(least), F.col("component") == F.col("of")).select("id", "component", "least")
     named = classes.join(labels, F.col("class") == F.col("id"), "left")
     named = named.select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "class").alias("component"), F.coalesce("least", "rep").alias("least"))
     found = sets.join(named, (F.col("n") == F.col("cn")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("least", "doc_id").alias("component_id"))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

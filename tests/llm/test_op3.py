@@ -147,3 +147,26 @@ def test_split_columns_give_the_same_pairs(monkeypatch):
     dealt = [row(d, s, s != d % 4) for d in docs for s in (range(4) if d in minor else [d % 4])]
     assert pairs(dealt, None) == whole and len(whole) > 1000
     assert pairs([row(d, 0, False) for d in docs], 4) <= whole
+
+
+def test_block_product_counts_every_overlap(monkeypatch):
+    """Overlap counts accumulated by row and column, whole and in small steps; links join what the exact similarities join."""
+    import numpy as np
+
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 50))), np.uint64) for _ in range(40)]
+    sets += [sets[k] for k in (0, 1, 1, 2)]
+    for step in (1 << 21, 5):
+        monkeypatch.setattr(jaccard, "CELLS_AT_ONCE", step)
+        block = jaccard._RowBlock(dict(enumerate(sets[:15])), 1, 2)
+        assert block.product(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets[:15]] for a in sets]
+        found = [e for k in range(0, len(sets), 7) for e in block.links(list(range(len(sets)))[k : k + 7], sets[k : k + 7])]
+        want = [(a, b) for a in range(len(sets)) for b in range(15) if a != b and 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))]
+        assert set(found) <= set(want) and union(range(len(sets)), found) == union(range(len(sets)), want)
+
+
+def test_null_ids_link_like_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    df = spark.createDataFrame([(None, " ".join(base)), (3, " ".join(base[:96])), (2, " ".join(base[4:])), (None, "lone text"), (None, "lone text")], "doc_id long, text string")
+    # the whole text links with both others, which do not link with each other
+    assert sorted(map(tuple, jaccard_classes(df, 5, (19, 20)).collect()), key=str) == sorted([(None, 96, 2), (3, 92, 2), (2, 92, 2), (None, 1, None), (None, 1, None)], key=str)
