@@ -12,14 +12,19 @@ Japanese or Thai) an inserted or deleted character shifts all later units of the
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, partitions
 
 UNIT, K, BITS = 16, 3, 6
-#: Bits of a k-mer's place in the text; beyond 4 million units places wrap, which can only change the order in a tuple.
-PLACE = 22
+#: Bits of a k-mer's place in the text: as many as an array has elements. The rest of the long is its hash.
+PLACE = 31
+#: Rows of one id beyond which they are dealt to several buckets.
+HEAVY = 50_000
 _MASK = 2**PLACE - 1
 _STEPS = [2**i for i in range(31, -1, -1)]
 
@@ -70,29 +75,41 @@ def shown(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
 
 
-def with_next(df: DataFrame, id_col: str, values: list[str]) -> DataFrame:
-    """df with next_<value>: the value in the row that follows by descending id (nulls last, then by value), after the last the first.
+def with_next(df: DataFrame, id_col: str, text: str, prepare: Callable[[DataFrame], DataFrame], values: list[str]) -> DataFrame:
+    """prepare(df) with next_<value>: the value in the row that follows by descending id (nulls last, then by the text's hash, then text), after the last the first.
 
-    Rows are dealt by quantiles of the id to four buckets a shuffle partition (so that partitions get alike shares), and each bucket gets a copy of
-    the first row of the one after it; so no window spans the table. Only the buckets' largest ids reach the driver.
+    Rows are dealt by quantiles of the id to four buckets a shuffle partition (so that partitions get alike shares); a bucket of
+    one id with more than HEAVY rows is cut by ranges of the hash. Each bucket gets a copy of the first row of the one after it;
+    so no window spans the table or an id. Only an id and a hash for each bucket reach the driver. prepare adds the values to
+    rows of id and text, copies included, so each row is prepared once.
     """
-    spark = df.sparkSession
+    spark, key = df.sparkSession, F.col(id_col)
     n = 4 * partitions(spark)
-    quantiles = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(id_col, quantiles or [0.5], 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
+    found = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    bounds = sorted(set(found) | {b - 1 for b in found if found.count(b) > 1 and b > -(2**63)})  # an id that fills buckets gets one of its own
     by = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     steps = F.array(*[F.lit(s) for s in _STEPS if 0 < s <= max(len(bounds), 1)])
-    below = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(by, p + s - 1) < F.col(id_col)), p + s).otherwise(p))
-    df = df.withColumn("__bucket", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(below))
-    tops = {r[0]: r[1] for r in df.groupBy("__bucket").agg(F.max(id_col)).collect()}
+    below = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(by, p + s - 1) < key), p + s).otherwise(p))
+    df = df.withColumn("__bucket", F.when(key.isNull(), F.lit(0)).otherwise(below + 1).cast("long"))
+    seen = df.groupBy("__bucket").agg(F.count("*").alias("n"), F.min(id_col).alias("low"), F.max(id_col).alias("top")).collect()
+    bits = {r["__bucket"]: min(16, math.ceil(math.log2(r["n"] / HEAVY))) for r in seen if r["n"] > HEAVY and r["low"] == r["top"]}
+    tops = {(r["__bucket"] << 16): (r["top"], None) for r in seen}
+    mixed, cut = F.xxhash64(F.col(text), F.lit(1)), F.col("__bucket") * F.lit(1 << 16)
+    if bits:
+        width = F.get(F.array(*[F.lit(bits.get(b, 0)) for b in range(len(bounds) + 2)]), F.col("__bucket").cast("int"))
+        df = df.withColumn("__bucket", cut + F.when(width > 0, F.call_function("shiftright", mixed, 64 - width) + F.call_function("shiftleft", F.lit(1).cast("long"), width - 1)).otherwise(0))
+        heavy = df.where(F.shiftright("__bucket", 16).isin(list(bits))).groupBy("__bucket").agg(F.max(id_col), F.max(mixed)).collect()
+        tops = {b: t for b, t in tops.items() if b >> 16 not in bits} | {b: (i, h) for b, i, h in heavy}
+    else:
+        df = df.withColumn("__bucket", cut)
     order = sorted(tops, reverse=True)
-    follow = [(b, tops[order[(k + 1) % len(order)]]) for k, b in enumerate(order)]
-    after = spark.createDataFrame(follow, "__of int, __top long")
-    heads = df.select(id_col, *values).join(F.broadcast(after), F.col(id_col).eqNullSafe(F.col("__top")))
-    heads = heads.groupBy(F.col("__of").alias("__bucket")).agg(F.max(F.struct(*values)).alias("h")).select("__bucket", F.lit(None).cast("long").alias(id_col), *[F.col(f"h.{v}").alias(v) for v in values])
-    rows = df.withColumn("__head", F.lit(0)).unionByName(heads.withColumn("__head", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("__bucket").orderBy("__head", F.col(id_col).desc_nulls_last(), *[F.col(v).desc() for v in values])
+    follow = [(b, *tops[order[(k + 1) % len(order)]]) for k, b in enumerate(order)]
+    after = spark.createDataFrame(follow, "__of long, __top long, __hash long")
+    met = key.eqNullSafe(F.col("__top")) & (F.col("__hash").isNull() | (mixed == F.col("__hash")))
+    heads = df.select(id_col, text).join(F.broadcast(after), met)
+    heads = heads.groupBy(F.col("__of").alias("__bucket")).agg(F.max(F.struct(mixed.alias("h"), F.col(text).alias("t"))).alias("h")).select("__bucket", F.lit(None).cast("long").alias(id_col), F.col("h.t").alias(text))
+    rows = prepare(df.withColumn("__head", F.lit(0)).unionByName(heads.withColumn("__head", F.lit(1)), allowMissingColumns=True))
+    w = Window.partitionBy("__bucket").orderBy("__head", key.desc_nulls_last(), mixed.desc(), F.col(text).desc())
     return rows.withColumns({f"next_{v}": F.lead(v).over(w) for v in values}).where("__head = 0").drop("__bucket", "__head")
 
 
@@ -101,11 +118,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (text), near_edited and near_next, one row per row
     of documents. A null text counts as empty; a text without non-space characters has an empty fingerprint, alike (1.0) only
-    another of these. Rows that repeat a doc_id follow each other by text, descending; null ids come last. A lone row is its
+    another of these. Rows that repeat a doc_id follow each other by a hash of their text; null ids come last. A lone row is its
     own next. Other columns are ignored; an empty table gives no rows.
     """
     docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(with_fingerprint(docs, "text", "tuples"), "doc_id", ["text", "tuples"])
+    docs = with_next(docs, "doc_id", "text", lambda rows: with_fingerprint(rows, "text", "tuples"), ["text", "tuples"])
     docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("__cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("__cut")).cast("int")), F.substring("next_text", F.lit(1), F.col("__cut")))
     docs = with_fingerprint(docs.withColumn("__edited", edited), "__edited", "edited_tuples")
