@@ -30,6 +30,16 @@ def test_against_brute_force(spark):
     assert got == sorted(((i // 2, *brute(u, rules)) for i, u in enumerate(urls)), key=repr)
 
 
+def test_the_join_is_on_short_prefixes(spark, sf):
+    """The whole digest is no join key: it is looked at after the prefixes have met."""
+    plan = queries.op1_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.split("\n") if "Join" in line and "__short" in line)
+    keys, rest = join.split("Inner", 1)
+    assert "__first" in keys and "__full" not in keys and "__digest" not in keys
+    assert "StartsWith(__full" in rest
+    assert "monotonically_increasing_id" not in plan
+
+
 def test_no_rules_null_rules_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://com/en/")], "page_id long, url string")
     none = rules_table(spark, [])
