@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import parts
+
 #: Hashed dimensions; centroids of a language; sampled documents of a language and of all, at most.
 DIMS, CENTROIDS, SAMPLE, SAMPLE_ALL = 4096, 4, 1500, 12_000
 #: Cosine distance from the nearest centroid beyond which a text is rejected.
@@ -77,7 +79,7 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each language: documents, and documents by dimension (as one row of fixed size a task and language)."""
     seen: dict[str, list] = {}
-    for batch in batches:
+    for batch in (x for whole in batches for x in parts(whole, 0)):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts = gram_counts(text)
             if counts is not None:
@@ -93,13 +95,13 @@ def _sum(t: pa.Table) -> pa.Table:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for whole in batches for x in parts(whole, 0)):
         rows = []
         for text, lang, order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts = gram_counts(text)
             if counts is not None:
                 at = np.flatnonzero(counts).astype(np.uint16)
-                rows.append((lang, order, at.tobytes(), np.minimum(counts[at], 65535).astype(np.uint16).tobytes()))
+                rows.append((lang, order, at.tobytes(), counts[at].astype(np.int64).tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "o", "at", "n"])
 
@@ -140,7 +142,7 @@ def train(documents: DataFrame, learn: Column, sample: int = SAMPLE, sample_all:
         own = sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["o"], r["at"], r["n"]))[:each]
         x = np.zeros((len(own), DIMS), np.float32)
         for i, r in enumerate(own):
-            x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
+            x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.int64)
             x[i] = unit(x[i], idf)
         if len(own):
             found = _kmeans(x, centroids)
@@ -156,7 +158,7 @@ def spark_map(values: dict[str, float]) -> Column:
 def _predict(model, farthest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole, 0)):
             found = [own.predict(t) for t in batch.column(0).to_pylist()]
             langs, scores = [f[0] or "und" for f in found], [f[1] for f in found]
             far = [f[0] is None or 1 - f[1] > farthest for f in found]
@@ -170,9 +172,11 @@ def identify(documents: DataFrame, learn: Column | None = None, max_distance: fl
 
     Returns doc_id, held_out (learn does not hold), lang_pred (the nearest centroid's language; und without letters), score
     (the cosine) and rejected (no letters, or farther than max_distance: callers may treat these as unknown). Without any row
-    to learn from all is und. One row per row; an empty table gives no rows; a null id is held out only if learn says so.
+    to learn from all is und. One row per row; an empty table gives no rows; a row for which learn is null (as by a null id) is
+    neither learnt from nor held out.
     """
-    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    learn = F.lit(True) if learn is None else learn
+    held_out, learn = F.coalesce(~learn, F.lit(False)), F.coalesce(learn, F.lit(False))
     model = documents.sparkSession.sparkContext.broadcast(train(documents, learn))
-    rows = documents.select("text", "doc_id", (~learn).alias("held_out"))
+    rows = documents.select("text", "doc_id", held_out.alias("held_out"))
     return rows.mapInArrow(_predict(model, max_distance), documents.select("doc_id", F.lit(False).alias("held_out"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema)
