@@ -28,8 +28,8 @@ from .shingles import parts
 
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks that a worker remembers, in each of two generations.
-CACHE = 200_000
+#: Chunks that a worker remembers, in each of two generations, and characters of such a chunk at most: longer ones seldom repeat.
+CACHE, REMEMBERED = 200_000, 40
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -207,7 +207,9 @@ class Pieces:
         lone = tokens[0] == SPACE
         for token in tokens[1:] if lone else tokens:
             ids += final(token) or self._ids(token)
-        found = self.cache[word] = ids if lone else tuple(ids)
+        found = ids if lone else tuple(ids)
+        if len(word) <= REMEMBERED:
+            self.cache[word] = found
         return found
 
     def _run(self, n: int) -> tuple[int, ...]:
