@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a few longs that a broadcast may hold (about 30 MB as a hash table); beyond it the same join shuffles.
@@ -53,19 +53,32 @@ def add(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def sums_before(df: DataFrame, group: list[str], order: str, values: list[str], per: int = 4096) -> DataFrame:
+    """df (one row for each group and whole number order) with before_<value>: the sum over the group's rows of smaller order.
+
+    In two steps, over runs of per orders and then within each run, so that no window holds more than per rows, or a row a run.
+    """
+    run = F.expr(f"`{order}` div {per}")
+    mine = lambda names: [F.col(n).alias(f"__g{i}") for i, n in enumerate(names)]
+    runs = df.groupBy(*group, run.alias("__run")).agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
+    earlier = Window.partitionBy(*group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*mine(group), F.col("__run").alias("__r"), *[F.coalesce(F.sum(f"__sum_{v}").over(earlier), F.lit(0)).alias(f"__base_{v}") for v in values])
+    within = Window.partitionBy(*group, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.withColumn("__run", run).withColumns({f"__in_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__run") == F.col("__r")])
+    return inner.join(runs, on).select(*df.columns, *[(F.col(f"__base_{v}") + F.col(f"__in_{v}")).alias(f"before_{v}") for v in values])
+
+
 def running_sums(df: DataFrame, group: list[str], key: Column, values: list[str], rows_per_bucket: int = 4096) -> DataFrame:
     """df with, for each of values, the column before_<value>: the sum over the rows that precede in the group.
 
     The order in a group is by bucket of key's hash, then key. Buckets are numbered by their own sums first, so no window
     holds more than about rows_per_bucket rows however large a group is. Rows with equal keys keep to one bucket.
     """
-    from pyspark.sql import Window
-
     n = max(1, -(-df.count() // rows_per_bucket))
     df = df.withColumn("__key", key).withColumn("__bucket", F.pmod(F.xxhash64("__key", F.lit(17)), F.lit(n)).cast("int"))
-    sums = df.groupBy(*group, "__bucket").agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bucket").alias("__b"), *[F.coalesce(F.sum(f"__sum_{v}").over(before), F.lit(0)).alias(f"__base_{v}") for v in values])
+    sums = sums_before(df.groupBy(*group, "__bucket").agg(*[F.sum(v).alias(v) for v in values]), group, "__bucket", values)
+    sums = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bucket").alias("__b"), *[F.col(f"before_{v}").alias(f"__base_{v}") for v in values])
     on = reduce(lambda a, b: a & b, [df[g].eqNullSafe(sums[f"__g{i}"]) for i, g in enumerate(group)] + [df["__bucket"] == sums["__b"]])
     within = Window.partitionBy(*group, "__bucket").orderBy("__key", *values).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.withColumns({f"__in_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(sums, on, "left")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import columns, running_sums, small, table
+from .common import columns, running_sums, small, sums_before, table
 from .shingles import mix
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -100,11 +100,9 @@ def plan(names: list[str | None], sizes: list[int], block: int, seed: int, weigh
     return out
 
 
-def _draw(sources: list[Source], slots: int, seed: int):
-    share = np.array([s.slots for s in sources], float)
-    share /= max(share.sum(), 1)
-
+def _draw(sources, slots: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = sources.value["slots"] / max(sources.value["slots"].sum(), 1)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
                 n = np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(slots, share)
@@ -114,10 +112,9 @@ def _draw(sources: list[Source], slots: int, seed: int):
     return run
 
 
-def _slots(sources: list[Source], seed: int):
-    blocks, total, cut = (np.array([getattr(s, k) for s in sources], np.int64) for k in ("blocks", "slots", "cut"))
-
+def _slots(sources, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, total, cut = (sources.value[k] for k in ("blocks", "slots", "cut"))
         for batch in batches:
             for shard, sid, a, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "sid", "a", "b")), strict=True):
                 k = np.arange(a, b)
@@ -133,15 +130,15 @@ def _slots(sources: list[Source], seed: int):
 def slots_of(spark, sources: list[Source], slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, sid, slot, block, words): which block each slot of each output shard takes, and how many words of it at most."""
     shards = -(-sum(s.slots for s in sources) // slots)
-    drawn = spark.range(shards).mapInArrow(_draw(sources, slots, seed), "shard long, sid int, n long")
-    upto = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = table(drawn.withColumn("b", F.sum("n").over(upto)).withColumn("a", F.col("b") - F.col("n")), "draws")
-    quota = spark.createDataFrame([(i, s.slots) for i, s in enumerate(sources) if s.slots], "qid int, quota long")
-    runs = drawn.join(F.broadcast(quota), F.col("sid") == F.col("qid")).select("shard", "sid", "a", F.least("b", "quota").alias("b")).where("a < b")
+    arrays = spark.sparkContext.broadcast({k: np.array([getattr(s, k) for s in sources], np.int64) for k in ("blocks", "slots", "cut")})  # three numbers a source
+    drawn = table(spark.range(shards).mapInArrow(_draw(arrays, slots, seed), "shard long, sid int, n long"), "draws")
+    drawn = sums_before(drawn, ["sid"], "shard", ["n"]).select("shard", "sid", F.col("before_n").alias("a"), (F.col("before_n") + F.col("n")).alias("b"))
+    quota = small(spark.createDataFrame([(i, s.slots) for i, s in enumerate(sources) if s.slots], "qid int, quota long"))
+    runs = drawn.join(quota, F.col("sid") == F.col("qid")).select("shard", "sid", "a", F.least("b", "quota").alias("b")).where("a < b")
     most = drawn.groupBy("sid").agg(F.max("b").alias("most"))
-    rest = F.broadcast(quota).join(most, F.col("sid") == F.col("qid"), "left").withColumn("a", F.coalesce("most", F.lit(0))).where("a < quota")
+    rest = quota.join(most, F.col("sid") == F.col("qid"), "left").withColumn("a", F.coalesce("most", F.lit(0))).where("a < quota")
     rest = rest.withColumn("a", F.explode(F.expr(f"sequence(a, quota - 1, {slots}L)"))).select((shards + F.floor(F.col("a") / slots)).alias("shard"), F.col("qid").alias("sid"), "a", F.least(F.col("a") + slots, "quota").alias("b"))
-    return runs.union(rest).mapInArrow(_slots(sources, seed), "shard long, sid int, slot long, block long, words long")
+    return runs.union(rest).mapInArrow(_slots(arrays, seed), "shard long, sid int, slot long, block long, words long")
 
 
 def _taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
@@ -152,7 +149,7 @@ def _taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     totals = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sources = plan([t[0] for t in totals], [t[1] for t in totals], block, seed, weights, share, most)
     ids = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "sid int, name string, source_size long, target double")
-    sized = sized.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    sized = sized.join(small(ids), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     if not sum(s.slots for s in sources):
         return sized.select("sid", "source", "doc_id", "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     placed = table(running_sums(sized, ["sid"], F.struct("doc_id", "text_hash"), ["size"]), "placed")
@@ -172,7 +169,8 @@ def mix_sources(documents: DataFrame, **options) -> DataFrame:
     Returns doc_id, text_hash, size (words of the text; a null text has none), source_size, target (of the source) and taken,
     one row per row of documents. Sources are taken by code point, null last. A source's taken words sum up to its rounded
     target, no document's exceed most (a whole number) times its size, and a rerun takes the same. Rows without words take
-    nothing, and an empty table gives no rows. The names and totals of the sources (one row each) are the driver's only data.
+    nothing, and an empty table gives no rows. The names and totals of the sources (one row each) are the driver's only data:
+    targets depend on all of them at once. Tasks get three numbers a source.
     """
     return _taken(documents, **options).drop("sid", "source")
 

@@ -3,7 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from tallymatch.llm import queries
+from pyspark.sql import functions as F
+from tallymatch.llm import mixing, queries
+from tallymatch.llm.common import running_sums, sums_before
 from tallymatch.llm.mixing import mix_documents, mix_sources, permute, plan, slots_of, targets
 
 SIZE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +97,37 @@ def test_copies_of_long_documents_meet_the_target(spark):
     assert sorted(got) == sorted(tuple(r) for r in mix_documents(df, weights=(2, 1), share=0.5).collect())
 
 
+def test_taken_against_a_replay(spark):
+    """Each word of each document's place in its source's stream, counted for every slot that takes its block, by plain loops."""
+    rng = np.random.default_rng(9)
+    rows = [(i, ["a", "b", None][i % 3], "w " * int(rng.integers(0, 90))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = {r["doc_id"]: r["taken"] for r in mix_sources(df, block=16, slots=8).collect()}
+    names = ["a", "b", None]
+    sizes = [sum(len(t.split()) for _, s, t in rows if s == n) for n in names]
+    sources = plan(names, sizes, 16, mixing.SEED)
+    sized = spark.createDataFrame([(names.index(s), i, len(t.split())) for i, s, t in rows], "sid int, doc_id long, size long")
+    hashed = sized.join(df.selectExpr("doc_id d", "xxhash64(text) text_hash"), F.col("doc_id") == F.col("d"))
+    owner = [[None] * n for n in sizes]
+    for r in running_sums(hashed, ["sid"], F.struct("doc_id", "text_hash"), ["size"]).collect():
+        for k in range(r["before_size"], r["before_size"] + r["size"]):
+            assert owner[r["sid"]][k] is None
+            owner[r["sid"]][k] = r["doc_id"]
+    want = dict.fromkeys(got, 0)
+    for r in slots_of(spark, sources, 8, mixing.SEED).collect():
+        for k in range(r["block"] * 16, min((r["block"] + 1) * 16, sizes[r["sid"]]))[: r["words"]]:
+            want[owner[r["sid"]][k]] += 1
+    assert got == want
+
+
+def test_sums_before(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, int(k), int(rng.integers(0, 9))) for g in ("x", None) for k in rng.choice(500, 60, replace=False)]
+    for per in (1, 7, 4096):
+        got = {(r["g"], r["k"]): r["before_v"] for r in sums_before(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], "k", ["v"], per).collect()}
+        assert got == {(g, k): sum(v for h, j, v in rows if h == g and j < k) for g, k, _ in rows}
+
+
 def test_slots_meet_the_plan(spark):
     sources = plan(["a", "b"], [1000, 30], 16, 5)
     slots = slots_of(spark, sources, 10, 5).collect()
