@@ -145,7 +145,7 @@ def _probe(shards: list[tuple], n: int):
     return dropped
 
 
-def _clean(least: int, docs: int, width: int, where: int, doc_at: int, shards=None, n: int = 0):
+def _clean(least: int, docs: int, names: list[str], width: int, where: int, doc_at: int, shards=None, n: int = 0):
     """Drops lines: by probing the shards (broadcast), or by the document's own list of hashes in the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def _clean(least: int, docs: int, width: int, where: int, doc_at: int, shards=No
             cols = [batch.column(k) for k in range(width)]
             cols[where] = pa.array(kept, cols[where].type)
             counts = [pa.array(map(len, x), pa.int64()) for x in (lines, gone)]
-            yield pa.RecordBatch.from_arrays([*cols, *counts], names=[*batch.schema.names[:width], "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, *counts], names=[*batch.schema.names[:width], *names])
 
     return run
 
@@ -187,16 +187,17 @@ def _probe_group(least: int):
     return run
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_keys: int = BROADCAST) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_keys: int = BROADCAST, prefix: str = "") -> DataFrame:
     """Drop lines whose key has min_chars code points at least and is found in min_docs documents at least, except in the largest doc_id that holds it.
 
-    Returns every column of documents with the rest of each text (other lines joined by newline), n_lines and n_dropped;
-    columns of these two names are replaced. A null or empty text is one empty line, and a null text stays null. Every row
+    Returns every column of documents with the rest of each text (other lines joined by newline), n_lines and n_dropped (names
+    that begin with prefix); columns of these two names are replaced. A null or empty text is one empty line, and a null text stays null. Every row
     counts as a document, also one that repeats a doc_id; a null doc_id counts as the smallest. All lines of a key in the
     document that keeps it stay. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    documents = documents.drop("n_lines", "n_dropped")
+    added = [f"{prefix}{n}" for n in ("n_lines", "n_dropped")]
+    documents = documents.drop(*added)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
     counted = docs.mapInArrow(thrifty(_lines(min_chars, False)), "hi long, lo long, doc long").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc").alias("holder"))
     frequent = table(counted.where(F.col("n") >= min_docs).withColumn("n", F.least("n", F.lit(2**32 - 1)).cast("long")), "lines")
@@ -206,10 +207,10 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
 
     names = documents.columns
     where, doc_at = names.index("text"), names.index("doc_id")
-    out = documents.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    out = documents.withColumns({n: F.lit(0).cast("long") for n in added}).schema
     if keys <= broadcast_keys:
         held = spark.sparkContext.broadcast([tuple(r) for r in arrays.collect()])
-        return documents.mapInArrow(thrifty(_clean(min_chars, min_docs, len(names), where, doc_at, held, shards)), out)
+        return documents.mapInArrow(thrifty(_clean(min_chars, min_docs, added, len(names), where, doc_at, held, shards)), out)
     marked = docs.withColumn("mark", F.xxhash64("text"))
     probes = marked.mapInArrow(thrifty(_lines(min_chars, True)), "hi long, lo long, doc long, mark long")
     probes = table(probes.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")), "probes")
@@ -221,4 +222,4 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
     hits = dealt.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInArrow(_probe_group(min_docs), "doc long, mark long, hi long, lo long")
     hits = hits.groupBy("doc", "mark").agg(F.collect_set(F.struct("hi", "lo")).alias("__gone")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
     joined = documents.join(hits, (F.coalesce(documents["doc_id"].cast("long"), F.lit(-(2**63))) == F.col("__doc")) & (F.xxhash64(documents["text"]) == F.col("__mark")), "left").drop("__doc", "__mark")
-    return joined.mapInArrow(thrifty(_clean(min_chars, min_docs, len(names), where, doc_at)), out)
+    return joined.mapInArrow(thrifty(_clean(min_chars, min_docs, added, len(names), where, doc_at)), out)

@@ -10,6 +10,7 @@ text. The expected severity is the sum of P(grade >= k) over the thresholds.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import thrifty
+from .common import small, table, thrifty
 from .shingles import parts
 
-#: Labelled documents to fit on, at most; and features that the fit keeps, at most.
-SAMPLE, FEATURES = 6_000, 20_000
+#: Labelled documents to fit on, at most.
+SAMPLE = 6_000
 GRADES = 3
 _NEVER = 700.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,41 +50,54 @@ class Model(NamedTuple):
         return float(sum(at_least)), at_least
 
 
-def fit(rows: list[tuple[np.ndarray, int]], l1: float = 1e-4, steps: int = 300) -> Model:
-    """rows: sorted feature hashes, and 1 if toxic. Equal documents count once. Without both kinds nothing is toxic.
+def telling(n, bad, rate, names: int):
+    """Whether a feature of n documents, bad of them toxic, tells the kinds apart: by its likelihood ratio (numpy or Columns).
 
-    Only features whose likelihood ratio between toxic and clean documents exceeds what the most uneven of so many features
-    would reach by chance are fitted: first with the L1 penalty, which selects, then the selected ones without its shrinkage.
+    The bound is what the most uneven of so many names would reach by chance.
     """
+    if isinstance(n, np.ndarray):
+        part = lambda k, of: k * np.log(np.maximum(k, 1e-12) / np.maximum(of, 1e-12))
+    else:
+        part = lambda k, of: k * F.log(F.greatest(k, F.lit(1e-12)) / F.greatest(of, F.lit(1e-12)))
+    return 2 * (part(bad, n * rate) + part(n - bad, n * (1 - rate))) > 2 * math.log(max(names, 1))
+
+
+def fit(rows: list[tuple[np.ndarray, int]], l1: float = 1e-4, steps: int = 300) -> Model:
+    """rows: sorted feature hashes, and 1 if toxic. Equal documents count once. Only telling features are fitted."""
     rows = list({(f.tobytes(), g): (f, g) for f, g in rows}.values())
     y = np.array([g for _, g in rows], np.int64)
     if len(set(y.tolist())) < 2:
-        return Model({}, (_NEVER,) * (GRADES - 1))
-    m = len(rows)
-    doc = np.repeat(np.arange(m), [len(f) for f, _ in rows])
+        return fit_telling([], np.empty(0, np.int64), l1, steps)
+    doc = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     names, which = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
     n, bad = np.bincount(which, minlength=len(names)), np.bincount(which, weights=y[doc] > 0, minlength=len(names))
-    rate = (y > 0).mean()
-    part = lambda k, of: k * np.log(np.maximum(k, 1e-12) / np.maximum(of, 1e-12))
-    ratio = 2 * (part(bad, n * rate) + part(n - bad, n * (1 - rate)))
-    keep = np.sort(np.argsort(-ratio, kind="stable")[:FEATURES])
-    keep = keep[ratio[keep] > 2 * np.log(len(names))]
-    if not len(keep):  # nothing tells the kinds apart
-        return Model({}, (_NEVER,) * (GRADES - 1))
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    on = place[which] >= 0
-    doc, col = doc[on], place[which][on]
+    keep = telling(n, bad, (y > 0).mean(), len(names))
+    return fit_telling([(f[np.isin(f, names[keep])], g) for f, g in rows], names[keep], l1, steps)
+
+
+def fit_telling(rows: list[tuple[np.ndarray, int]], names: np.ndarray, l1: float = 1e-4, steps: int = 300) -> Model:
+    """rows: the telling features of each document, and 1 if toxic; names: these features, sorted. Without both kinds, or names, nothing is toxic.
 
-    dose = np.bincount(doc, weights=(bad > n * rate)[keep][col], minlength=m)
+    First with the L1 penalty, which selects, then the selected ones without its shrinkage.
+    """
+    y = np.array([g for _, g in rows], np.int64)
+    if len(set(y.tolist())) < 2 or not len(names):
+        return Model({}, (_NEVER,) * (GRADES - 1))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0].tobytes(), rows[k][1]))  # sums must not depend on the order of rows
+    rows, y = [rows[k] for k in order], y[order]
+    m, rate = len(rows), (y > 0).mean()
+    doc = np.repeat(np.arange(m), [len(f) for f, _ in rows])
+    col = np.searchsorted(names, np.concatenate([f for f, _ in rows]).astype(names.dtype))
+    n, bad = np.bincount(col, minlength=len(names)), np.bincount(col, weights=y[doc] > 0, minlength=len(names))
+    dose = np.bincount(doc, weights=(bad > n * rate)[col], minlength=m)
     y = y + ((y > 0) & (dose > np.median(dose[y > 0])))
     theta = np.log((1 - rate) / rate) + 2.0 * np.arange(y.max())  # a grade that does not occur has no threshold
-    x = _l1_path(doc, col, np.r_[np.zeros(len(keep)), theta], y, l1, steps)
-    w, theta = x[: len(keep)], x[len(keep) :]
+    x = _l1_path(doc, col, np.r_[np.zeros(len(names)), theta], y, l1, steps)
+    w, theta = x[: len(names)], x[len(names) :]
     on = w[col] != 0
     held, again = np.unique(col[on], return_inverse=True)
     x = _lbfgs(lambda x: _loss(doc[on], again, x, y, 1e-6), np.r_[w[held], theta], 200)
-    return Model(dict(zip(names[keep[held]].tolist(), x[: len(held)].tolist(), strict=True)), (*np.sort(x[len(held) :]).tolist(), _NEVER, _NEVER)[: GRADES - 1])
+    return Model(dict(zip(names[held].tolist(), x[: len(held)].tolist(), strict=True)), (*np.sort(x[len(held) :]).tolist(), _NEVER, _NEVER)[: GRADES - 1])
 
 
 def _loss(doc: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
@@ -149,37 +163,52 @@ def _l1_path(doc: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, l1:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.sort(np.fromiter(features(t), np.int64)).tobytes() for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["features", "bad"])
+    for batch in (x for whole in batches for x in parts(whole, 0)):
+        found = [sorted(features(t)) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), batch.column(1)], names=["features", "bad"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample labelled documents; labels with a null, and of ids that documents lack, count for nothing."""
+    """Fit on at most sample labelled documents; labels with a null, and of ids that documents lack, count for nothing.
+
+    Features are counted where they are; the driver gets the telling ones, and of each document those alone.
+    """
     picked = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("__id"), (F.col("toxic") != 0).cast("int").alias("bad"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id", "bad").limit(sample)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "bad").mapInArrow(thrifty(_featurize), "features binary, bad int")
-    return fit([(np.frombuffer(r[0], np.int64), r[1]) for r in rows.collect()])
-
-
-def _score(model):
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "bad").mapInArrow(thrifty(_featurize), "features array<long>, bad int")
+    rows = table(rows.withColumn("key", F.xxhash64("features")).dropDuplicates(["key", "bad"]), "features")
+    m, toxic = rows.agg(F.count("*"), F.sum("bad")).first()
+    if not toxic or toxic == m:
+        return fit_telling([], np.empty(0, np.int64))
+    counts = table(rows.select("bad", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("bad").alias("of")), "counts")
+    kept = counts.where(telling(F.col("n"), F.col("of"), toxic / m, counts.count())).select("f")
+    names = np.array(sorted(r[0] for r in kept.collect()), np.int64)
+    if not len(names):
+        return fit_telling([], names)
+    held = rows.select("key", "bad", F.explode("features").alias("f")).join(small(kept), "f").groupBy("key", "bad").agg(F.sort_array(F.collect_list("f")).alias("own"))
+    found = {(r["key"], r["bad"]): np.array(r["own"], np.int64) for r in held.collect()}
+    return fit_telling([(found.get((r["key"], r["bad"]), np.empty(0, np.int64)), r["bad"]) for r in rows.select("key", "bad").collect()], names)
+
+
+def _score(model, names: list[str], where: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in (x for whole in batches for x in parts(whole, whole.num_columns - 1)):
-            found = [own.severity(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = [*batch.columns[:-1], pa.array([s for s, _ in found], pa.float64()), pa.array([round(s) for s, _ in found], pa.int32()), pa.array([p[0] >= 0.5 for _, p in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "severity", "grade", "toxic"])
+        for batch in (x for whole in batches for x in parts(whole, where)):
+            found = [own.severity(t) for t in batch.column(where).to_pylist()]
+            cols = [*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([round(s) for s, _ in found], pa.int32()), pa.array([p[0] >= 0.5 for _, p in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *names])
 
     return run
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, prefix: str = "") -> DataFrame:
     """Every column of documents with severity (expected, 0 to 2), grade (severity rounded) and toxic (P(grade >= 1) is a half or more).
 
-    Columns of these three names are replaced. Null and empty texts have no features and score by the thresholds alone.
-    Rows that repeat count as they are; an empty table gives no rows; labels of one grade only reject nothing.
+    The three names begin with prefix; columns of these names are replaced. Null and empty texts have no features and score by
+    the thresholds alone. Rows that repeat count as they are; an empty table gives no rows; labels of one grade only reject nothing.
     """
     model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, sample))
-    documents = documents.drop("severity", "grade", "toxic")
-    out = documents.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)}).schema
-    return documents.withColumn("__text", F.col("text")).mapInArrow(thrifty(_score(model)), out)
+    names = [f"{prefix}{n}" for n in ("severity", "grade", "toxic")]
+    documents = documents.drop(*names)
+    out = documents.withColumns(dict(zip(names, (F.lit(0.0), F.lit(0), F.lit(False)), strict=True))).schema
+    return documents.mapInArrow(thrifty(_score(model, names, documents.columns.index("text"))), out)

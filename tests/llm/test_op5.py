@@ -1,8 +1,13 @@
+import itertools
+import math
 import random
+import re
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 from tallymatch.llm import queries
-from tallymatch.llm.toxicity import features, fit, score_toxicity
+from tallymatch.llm.toxicity import _lbfgs, _loss, features, fit, score_toxicity, train
 
 
 def test_held_out_accuracy(spark, sf):
@@ -31,6 +36,48 @@ def test_grades_share_weights_in_order():
     assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
 
 
+def test_query_against_brute_force(spark, sf):
+    """The fit on counts taken in the cluster is the local one, and every document's severity follows from the words in it."""
+    docs, labels = queries.read(spark, sf, "documents"), queries.read(spark, sf, "labels")
+    model = train(docs, labels)
+    toxic = {r["doc_id"]: int(r["toxic"] != 0) for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    local = fit([(np.sort(np.fromiter(features(texts[i]), np.int64)), t) for i, t in toxic.items() if i in texts])
+    assert local.weights.keys() == model.weights.keys() and np.allclose(local.thresholds, model.thresholds, atol=1e-6)
+    assert all(abs(w - model.weights[f]) < 1e-6 for f, w in local.weights.items())
+    got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, sf).collect()}
+    for i, t in texts.items():
+        words = {"".join(g) for alpha, g in itertools.groupby((t or "").lower(), key=lambda c: re.fullmatch(r"[^\W\d_]", c) is not None) if alpha}
+        own = [*words, *{"^" + w[:4] for w in words if len(w) > 3}]
+        score = sum(model.weights.get(xxhash.xxh3_64_intdigest(w) >> 1, 0.0) for w in own)
+        at_least = [1 / (1 + math.exp(min(500, th - score))) for th in model.thresholds]
+        assert abs(got[i]["severity"] - sum(at_least)) < 1e-9
+        assert got[i]["toxic"] == (at_least[0] >= 0.5) and got[i]["grade"] == round(sum(at_least))
+
+
+def test_loss_and_its_gradient():
+    """Against the grades' probabilities written out, and against finite differences; the fit ends where no step lowers the loss."""
+    rng = np.random.default_rng(3)
+    m, n = 40, 6
+    doc, col = np.nonzero(rng.random((m, n)) < 0.4)
+    y = rng.integers(0, 3, m)
+    x = np.r_[rng.normal(size=n), -0.5, 1.0]
+    value, gradient = _loss(doc, col, x, y, 0.1)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    total = 0.0
+    for d in range(m):
+        s = sum(x[c] for k, c in zip(doc, col, strict=True) if k == d)
+        p = [1.0, sig(s - x[-2]), sig(s - x[-1]), 0.0]
+        total -= math.log(p[y[d]] - p[y[d] + 1])
+    assert abs(value - (total / m + 0.05 * (x[:n] @ x[:n]))) < 1e-9
+    for k in range(len(x)):
+        step = np.eye(len(x))[k] * 1e-6
+        slope = (_loss(doc, col, x + step, y, 0.1)[0] - _loss(doc, col, x - step, y, 0.1)[0]) / 2e-6
+        assert abs(gradient[k] - slope) < 1e-5
+    best = _lbfgs(lambda x: _loss(doc, col, x, y, 0.1), x, 200)
+    assert np.abs(_loss(doc, col, best, y, 0.1)[1]).max() < 1e-4
+
+
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, 9), (1, "", 9), (None, "x y", 9), (2, "bad " * 50_000, 9)], "doc_id long, text string, severity int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -41,6 +88,9 @@ def test_defined_cases(spark):
     one = spark.createDataFrame([(2, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert not any(r["toxic"] for r in score_toxicity(docs, one).collect())
     assert score_toxicity(docs.limit(0), one).collect() == []
+    named = score_toxicity(docs.withColumn("__text", F.lit(1)), none, prefix="x_")
+    assert named.columns == ["doc_id", "text", "severity", "__text", "x_severity", "x_grade", "x_toxic"]
+    assert {r["severity"] for r in named.collect()} == {9} and {r["__text"] for r in named.collect()} == {1}
 
 
 def test_query_has_every_document(spark, sf):

@@ -71,6 +71,18 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((x for x in got if x[0] != 7), key=str) == sorted([(5, a), (3, b), (5, c), (None, a), (1, ""), (1, "")], key=str)
 
 
+def test_columns_of_documents_stay(spark, sf):
+    """Columns that are named like what a stage computes pass through."""
+    docs = queries.read(spark, sf, "documents").limit(40)
+    names = ("toxic", "grade", "severity", "n_lines", "n_dropped", "size", "taken", "component_id", "stage_toxic")
+    extra = docs.selectExpr("*", *[f"doc_id * 10 + {k} AS {n}" for k, n in enumerate(names)])
+    for _, stage in pipeline.STAGES[:-1]:
+        extra = pipeline.table(stage(spark, extra, sf), "stage")
+        assert extra.columns == [*docs.columns, *names]
+        rows = extra.collect()
+        assert rows and all(r[n] == r["doc_id"] * 10 + k for r in rows for k, n in enumerate(names))
+
+
 def test_registered(spark):
     import __spark_entry__
 
