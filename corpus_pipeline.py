@@ -23,17 +23,27 @@ from tallymatch.llm.toxicity import score_toxicity
 MODEL = "piece_bpe_32k.model"
 
 
+def free(docs: DataFrame) -> str:
+    """A beginning that no column's name has, for a stage's own columns."""
+    own = "stage_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    return own
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are toxic with a probability under a half; null and empty texts stay."""
-    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    own = free(docs)
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), prefix=own)
+    return scored.where(~F.col(f"{own}toxic")).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the long lines that at least five documents hold (the largest doc_id keeps them); n_chars follows."""
-    kept = dedup_lines(docs)
+    own = free(docs)
+    kept = dedup_lines(docs, prefix=own)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        kept = kept.withColumn("n_chars", F.when(F.col(f"{own}n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
