@@ -10,7 +10,7 @@
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
    members whose components still differ, in columns where pivots did not meet everyone; so a group of near copies costs about its size, not its square. A column of more
    than BLOCK rows is dealt to blocks of about that size, and only the rows that all others must meet visit every block.
-4. The whole rows of the incidence matrix of documents in surviving pairs are written once. Pivots are dealt to row blocks;
+4. The whole rows of the incidence matrix are written, once, for the documents in surviving pairs. Pivots are dealt to row blocks;
    each block is multiplied with the rows that have a pair in it, streamed in batches: the product accumulates the overlap
    count of every (row, column) of block and batch, gram by gram, and cells below the least overlap that their two sizes ask
    for are discarded. So the counts are exact, in integers.
@@ -355,16 +355,19 @@ def _multiply(num: int, den: int):
     return run
 
 
-def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of classes that join what the pairs (i, j) of classes join whose whole sets reach the threshold."""
-    spark = sets.sparkSession
-    blocks = max(partitions(spark), -(-pairs.select("i").distinct().count() // ROWS))
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(blk, salt, visits, doc): the rows of each block (the pairs' i), and what it is multiplied with (their j), in groups of bounded size."""
+    blocks = max(partitions(pairs.sparkSession), -(-pairs.select("i").distinct().count() // ROWS))
     pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(blocks)).cast("int"))
     salts = pairs.groupBy(F.col("blk").alias("b")).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     pairs = pairs.join(small(table(salts, "salts")), F.col("blk") == F.col("b")).withColumn("salt", F.pmod(F.xxhash64("j"), F.col("salts")).cast("int"))
-    asked = pairs.select("blk", "salt", F.lit(False).alias("visits"), F.col("i").alias("doc")).union(pairs.select("blk", "salt", F.lit(True), "j")).distinct()
-    rows = asked.join(sets, F.col("doc") == F.col("class")).select("blk", "salt", "visits", "doc", "grams")
-    rows = rows.repartition(partitions(spark), "blk", "salt").sortWithinPartitions("blk", "salt", "visits")
+    return table(pairs.select("blk", "salt", F.lit(False).alias("visits"), F.col("i").alias("doc")).union(pairs.select("blk", "salt", F.lit(True), "j")).distinct(), "dealt")
+
+
+def _links(sets: DataFrame, dealt: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of classes that join what the dealt pairs of classes join whose whole sets reach the threshold."""
+    rows = sets.join(small(dealt), F.col("doc") == F.col("class")).select("blk", "salt", "visits", "doc", "grams")
+    rows = rows.repartition(partitions(sets.sparkSession), "blk", "salt").sortWithinPartitions("blk", "salt", "visits")
     return rows.mapInArrow(thrifty(_multiply(num, den)), "src long, dst long")
 
 
@@ -406,9 +409,13 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
     shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
     parity = prefix.select(F.col("class").alias("id"), "parity")
-    paired = table(shared.select(F.col("doc").alias("id")).distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash"), "paired")
-    whole = docs.join(small(paired), is_rep).select("class", "text").mapInArrow(thrifty(_sets(n)), "class long, grams binary")
-    whole = table(whole.dropDuplicates(["class"]) if repeated else whole, "whole")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        """The whole sets of these classes."""
+        asked = table(ids.distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash"), "asked")
+        found = docs.join(small(asked), is_rep).select("class", "text").mapInArrow(thrifty(_sets(n)), "class long, grams binary")
+        return table(found.dropDuplicates(["class"]) if repeated else found, "whole")
+
     large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
@@ -429,9 +436,13 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
         grams = grams.select("gram", "salt", "away", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", "away")
         return table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
 
-    links = table(_links(whole, met(None, PIVOTS), num, den), "links")
+    dealt = _dealt(met(None, PIVOTS))
+    rows = whole(dealt.select(F.col("doc").alias("id")))
+    links = table(_links(rows, dealt, num, den), "links")
     labels = table(components(links), "labels")
-    links = table(links.union(_links(whole, met(labels, None), num, den)), "links")
+    dealt = _dealt(met(labels, None))
+    rows = rows.union(whole(dealt.select(F.col("doc").alias("id")).join(rows, F.col("id") == F.col("class"), "left_anti")))
+    links = table(links.union(_links(rows, dealt, num, den)), "links")
     labels = table(components(links), "labels").join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")
     least = table(labels.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "least")
     labels = labels.drop("rep").join(small(least), F.col("component") == F.col("of")).select("id", "component", "least")
