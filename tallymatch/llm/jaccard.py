@@ -10,7 +10,8 @@
    their symmetric difference). A first round meets each member of a column with a few pivots of it, a second round all
    members whose components still differ, in columns where pivots did not meet everyone; so a group of near copies costs about its size, not its square. A column of more
    than BLOCK rows is dealt to blocks of about that size, and only the rows that all others must meet visit every block.
-4. The whole rows of the incidence matrix are written, once, for the documents in surviving pairs. Pivots are dealt to row blocks;
+4. The whole rows of the incidence matrix are written, once, for the documents in surviving pairs. Pivots are dealt to row blocks by
+   the least hash of their sets, which near copies mostly share, so a row is sent to few blocks;
    each block is multiplied with the rows that have a pair in it, streamed in batches: the product accumulates the overlap
    count of every (row, column) of block and batch, gram by gram, and cells below the least overlap that their two sizes ask
    for are discarded. So the counts are exact, in integers.
@@ -32,8 +33,8 @@ from .shingles import mix, parts, shingle_sets
 
 #: Cells of the shingle counts (a fixed 2 MB to broadcast, whatever the input) and the rows they travel in.
 CELLS, CHUNKS = 1 << 18, 64
-#: Bits of the parity bitmaps.
-BITS = 1024
+#: Least and most bits of a parity bitmap, as powers of two; between these as many as the set has shingles, or up to twice as many.
+LEAST_BITS, MOST_BITS = 7, 16
 #: Pivots that each member of a column meets in the first round.
 PIVOTS = 4
 #: Rows of the widest columns whose rows are compared by size and position before parity bitmaps are attached.
@@ -94,23 +95,25 @@ def _needed(num: int, den: int, a, b):
 
 
 def _prefixes(n: int, num: int, den: int, counts):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("grams", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("parity", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("grams", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("parity", pa.binary()), ("low", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
         much = HOT * order.mean() + BLOCK
         for batch in (x for whole in batches for x in parts(whole, 1)):
-            grams, parity = [], []
+            grams, parity, low = [], [], []
             for s in shingle_sets(batch.column(1), n):
                 keep = len(s) + num * len(s) // -den + 1 if len(s) else 0
                 first = s[np.lexsort((s, order[_cell(s)]))[:keep]]
-                bits = np.bincount((mix(s + _U(3)) >> _U(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+                width = 1 << min(MOST_BITS, max(LEAST_BITS, len(s).bit_length()))
+                bits = np.bincount((mix(s + _U(3)) & _U(width - 1)).astype(np.int64), minlength=width) & 1
                 grams.append(first.view(np.int64))
+                low.append(_signed(int(s[0])) if len(s) else None)
                 parity.append(np.packbits(bits.astype(np.uint8)).tobytes())
             ends = np.cumsum([0, *map(len, grams)])
             flat = np.concatenate(grams) if grams else np.empty(0, np.int64)
             listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(flat, pa.int64()), pa.array(order[_cell(flat.view(np.uint64))] > much, pa.bool_()))]
-            yield _rows(schema, [batch.column(0), batch.column(2), *listed, parity])
+            yield _rows(schema, [batch.column(0), batch.column(2), *listed, parity, low])
 
     return run
 
@@ -196,6 +199,43 @@ def _by_column(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         yield held, np.array([0]), np.array([held.num_rows])
 
 
+class _Bitmaps:
+    """Parity bitmaps of different widths: a wide one folds to half its width by XOR of its halves, as cells are hashes' low bits."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw = raw
+        self.width = np.array([8 * len(r) for r in raw])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bitmaps of this width or wider at this width, and where each row's is."""
+        if width not in self.at:
+            found, place, done = [], np.full(len(self.raw), -1), 0
+            for own in np.unique(self.width[self.width >= width]).tolist():
+                rows = np.flatnonzero(self.width == own)
+                bits = np.frombuffer(b"".join(self.raw[i] for i in rows.tolist()), np.uint64).reshape(len(rows), -1)
+                while bits.shape[1] * 64 > width:
+                    half = bits.shape[1] // 2
+                    bits = bits[:, :half] ^ bits[:, half:]
+                found.append(bits)
+                place[rows] = np.arange(done, done + len(rows))
+                done += len(rows)
+            self.at[width] = np.concatenate(found), place
+        return self.at[width]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many cells the bitmaps of rows x and y differ: at most their sets' symmetric difference."""
+        out = np.zeros(len(x), np.int64)
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width).tolist():
+            bits, place = self._folded(w)
+            own = np.flatnonzero(width == w)
+            for k in range(0, len(own), step := max(1, CELLS_AT_ONCE // w * 64)):
+                part = own[k : k + step]
+                out[part] = np.bitwise_count(bits[place[x[part]]] ^ bits[place[y[part]]]).sum(axis=1)
+        return out
+
+
 _PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64())])
 
 
@@ -206,7 +246,7 @@ def _candidates(num: int, den: int, pivots: int | None):
         for t, starts, ends in _by_column(batches):
             doc, label, n, pos, away = (t.column(c).to_numpy() for c in ("doc", "label", "n", "pos", "away"))
             gram = t.column("gram").to_numpy().view(np.uint64)
-            bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
+            bits = _Bitmaps(t.column("parity").to_pylist())
             left, right, many = [], [], 0
 
             def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +254,7 @@ def _candidates(num: int, den: int, pivots: int | None):
                 need = _needed(num, den, a, b)
                 ok = (label[x] != label[y]) & ~(away[x] & away[y]) & (np.minimum(a - pos[x], b - pos[y]) >= need) & (np.minimum(a, b) >= need)  # noqa: B023
                 x, y, least = x[ok], y[ok], (a + b - 2 * need)[ok]
-                ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= least  # noqa: B023
+                ok = bits.apart(x, y) <= least  # noqa: B023
                 return x[ok], y[ok]
 
             size = ends - starts
@@ -318,27 +358,32 @@ class _RowBlock:
 
 
 def _multiply(num: int, den: int):
-    """Rows sorted by block: its own first, then those it is multiplied with."""
+    """Rows sorted by block: its own first (of these, last the ones it is also multiplied with), then the others it is multiplied with."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, block, ids, others, held, out = None, {}, None, [], [], 0, []
+        key, own, both, block, ids, others, held, out = None, {}, [], None, [], [], 0, []
 
         def drain() -> None:
-            nonlocal block, ids, others, held
-            if ids and own:
+            nonlocal both, block, ids, others, held
+            if own and (both or ids):
                 block = block or _RowBlock(own, num, den)
-                out.extend(block.links(ids, others))
-            ids, others, held = [], [], 0
+                for doc in both:
+                    out.extend(block.links([doc], [own[doc]]))
+                if ids:
+                    out.extend(block.links(ids, others))
+            both, ids, others, held = [], [], [], 0
 
         for batch in batches:
-            for blk, salt, visits, doc, grams in zip(*(batch.column(c).to_pylist() for c in ("blk", "salt", "visits", "doc", "grams")), strict=True):
+            for blk, salt, role, doc, grams in zip(*(batch.column(c).to_pylist() for c in ("blk", "salt", "role", "doc", "grams")), strict=True):
                 if (blk, salt) != key:
                     drain()
-                    key, own, block = (blk, salt), {}, None
+                    key, own, both, block = (blk, salt), {}, [], None
                 row = np.frombuffer(grams, np.uint64)
-                if not visits:
+                if role < 2:
                     own[doc] = row
+                    if role:
+                        both.append(doc)
                     continue
                 ids.append(doc)
                 others.append(row)
@@ -355,19 +400,27 @@ def _multiply(num: int, den: int):
     return run
 
 
-def _dealt(pairs: DataFrame) -> DataFrame:
-    """(blk, salt, visits, doc): the rows of each block (the pairs' i), and what it is multiplied with (their j), in groups of bounded size."""
+def _dealt(pairs: DataFrame, lows: DataFrame) -> DataFrame:
+    """(blk, salt, doc, role): the rows of each block (the pairs' i; role 0), what it is multiplied with (their j; 2), and what is both (1).
+
+    Rows whose sets have the same least hash go to one block, or to several of about ROWS rows; as near copies mostly agree in it,
+    most rows visit a single block, their own. What visits a block is dealt to groups of bounded size.
+    """
     blocks = max(partitions(pairs.sparkSession), -(-pairs.select("i").distinct().count() // ROWS))
-    pairs = pairs.withColumn("blk", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(blocks)).cast("int"))
+    owners = pairs.select("i").distinct().join(lows.select("class", "low"), F.col("i") == F.col("class")).select(F.col("i").alias("owner"), "low")
+    sizes = owners.groupBy(F.col("low").alias("of")).agg(F.ceil(F.count("*") / ROWS).cast("int").alias("cuts"))
+    owners = owners.join(sizes, F.col("low") == F.col("of")).select("owner", F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("owner"), F.col("cuts"))), F.lit(blocks)).cast("int").alias("blk"))
+    pairs = pairs.join(owners, F.col("i") == F.col("owner")).select("blk", "i", "j")
     salts = pairs.groupBy(F.col("blk").alias("b")).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     pairs = pairs.join(small(table(salts, "salts")), F.col("blk") == F.col("b")).withColumn("salt", F.pmod(F.xxhash64("j"), F.col("salts")).cast("int"))
-    return table(pairs.select("blk", "salt", F.lit(False).alias("visits"), F.col("i").alias("doc")).union(pairs.select("blk", "salt", F.lit(True), "j")).distinct(), "dealt")
+    roles = pairs.select("blk", "salt", F.col("i").alias("doc"), F.lit(0).alias("role")).union(pairs.select("blk", "salt", "j", F.lit(2)))
+    return table(roles.groupBy("blk", "salt", "doc").agg(F.avg(F.col("role")).alias("role")).withColumn("role", F.when(F.col("role") == 0, 0).when(F.col("role") == 2, 2).otherwise(1)), "dealt")
 
 
 def _links(sets: DataFrame, dealt: DataFrame, num: int, den: int) -> DataFrame:
     """Links of classes that join what the dealt pairs of classes join whose whole sets reach the threshold."""
-    rows = sets.join(small(dealt), F.col("doc") == F.col("class")).select("blk", "salt", "visits", "doc", "grams")
-    rows = rows.repartition(partitions(sets.sparkSession), "blk", "salt").sortWithinPartitions("blk", "salt", "visits")
+    rows = sets.join(small(dealt), F.col("doc") == F.col("class")).select("blk", "salt", "role", "doc", "grams")
+    rows = rows.repartition(partitions(sets.sparkSession), "blk", "salt").sortWithinPartitions("blk", "salt", "role")
     return rows.mapInArrow(thrifty(_multiply(num, den)), "src long, dst long")
 
 
@@ -400,15 +453,15 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     repeated = not sets.where("n > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()  # rows that agree in id and text
 
     counts = spark.sparkContext.broadcast(cells)
-    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, text_hash long, grams array<long>, hot array<boolean>, parity binary")
-    prefix = prefix.join(reps, is_rep).select("class", "n_rep", "grams", "hot", "parity")
+    prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, text_hash long, grams array<long>, hot array<boolean>, parity binary, low long")
+    prefix = prefix.join(small(reps), is_rep).select("class", "n_rep", "grams", "hot", "parity", "low")
     prefix = table(prefix.dropDuplicates(["class"]) if repeated else prefix, "prefix")
     rows = prefix.select("class", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
     salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("class"), F.lit(partitions(spark)))).otherwise(0).cast("int")
     rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("class").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
     shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
-    parity = prefix.select(F.col("class").alias("id"), "parity")
+    parity, lows = prefix.select(F.col("class").alias("id"), "parity"), prefix.select("class", "low")
 
     def whole(ids: DataFrame) -> DataFrame:
         """The whole sets of these classes."""
@@ -436,11 +489,11 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
         grams = grams.select("gram", "salt", "away", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", "away")
         return table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
 
-    dealt = _dealt(met(None, PIVOTS))
+    dealt = _dealt(met(None, PIVOTS), lows)
     rows = whole(dealt.select(F.col("doc").alias("id")))
     links = table(_links(rows, dealt, num, den), "links")
     labels = table(components(links), "labels")
-    dealt = _dealt(met(labels, None))
+    dealt = _dealt(met(labels, None), lows)
     rows = rows.union(whole(dealt.select(F.col("doc").alias("id")).join(rows, F.col("id") == F.col("class"), "left_anti")))
     links = table(links.union(_links(rows, dealt, num, den)), "links")
     labels = table(components(links), "labels").join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")

@@ -170,3 +170,25 @@ def test_null_ids_link_like_others(spark):
     df = spark.createDataFrame([(None, " ".join(base)), (3, " ".join(base[:96])), (2, " ".join(base[4:])), (None, "lone text"), (None, "lone text")], "doc_id long, text string")
     # the whole text links with both others, which do not link with each other
     assert sorted(map(tuple, jaccard_classes(df, 5, (19, 20)).collect()), key=str) == sorted([(None, 96, 2), (3, 92, 2), (2, 92, 2), (None, 1, None), (None, 1, None)], key=str)
+
+
+def test_bitmaps_of_any_widths():
+    """Cells that differ are counted at the smaller width, and never exceed the symmetric difference."""
+    import numpy as np
+
+    rng = random.Random(3)
+    sets = [{rng.randrange(3000) for _ in range(rng.choice((3, 90, 300, 1500)))} for _ in range(40)]
+
+    def parity(own, width):
+        bits = np.zeros(width, np.uint8)
+        for x in own:
+            bits[x * 2654435761 % width] ^= 1
+        return bits
+
+    widths = [rng.choice((128, 256, 512, 1024)) for _ in sets]
+    maps = jaccard._Bitmaps([np.packbits(parity(s, w)).tobytes() for s, w in zip(sets, widths, strict=True)])
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(40), np.arange(40)))
+    got = maps.apart(x, y)
+    for i, j, d in zip(x.tolist(), y.tolist(), got.tolist(), strict=True):
+        w = min(widths[i], widths[j])
+        assert d == int((parity(sets[i], w) ^ parity(sets[j], w)).sum()) <= len(sets[i] ^ sets[j])
