@@ -29,7 +29,7 @@ from .shingles import parts
 SPACE = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks that a worker remembers, in each of two generations, and characters of such a chunk at most: longer ones seldom repeat.
-CACHE, REMEMBERED = 200_000, 40
+CACHE, REMEMBERED = 100_000, 40
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -136,7 +136,7 @@ class Pieces:
     def _compatible(self, key: tuple[str, str]) -> bool:
         """Whether BPE over the two tokens leaves their border alone: undo their merges, latest first, and look across."""
         if key not in self.fits:
-            if len(self.fits) >= 4 * CACHE:
+            if len(self.fits) >= 2 * CACHE:
                 self.fits.clear()
             left, right = key
             limit, first, ok = float("-inf"), False, True
@@ -259,7 +259,7 @@ def _encode(model, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.sha256(model.value).hexdigest()
         own = _models.get(name) or _models.setdefault(name, Pieces(model.value))  # kept for a worker's next tasks
-        for batch in (x for whole in batches for x in parts(whole, 1)):
+        for batch in (x for whole in batches for x in parts(whole, 1, 1 << 20)):
             counts, hashes, texts, all_ids, ends = [], [], [], array("i"), [0]
             for text in batch.column("text").to_pylist():
                 flat = own.encode(text)
