@@ -448,8 +448,10 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     sets = profile.where("chunk is null").select("doc_id", "text_hash", "n", "k1", "k2")
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep_hash"))
     classes = table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    reps = classes.select("class", "rep", "rep_hash", F.col("n").alias("n_rep"))
-    is_rep = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    reps = classes.select("class", "rep", "rep_hash", F.col("n").alias("n_rep"), F.xxhash64("rep", "rep_hash").alias("tag"))
+    # joined on one long, whose hash table is lean, and then compared
+    apart = F.coalesce(F.col("doc_id").bitwiseXOR(F.col("rep")), F.lit(0)).bitwiseOR(F.col("text_hash").bitwiseXOR(F.col("rep_hash")))
+    is_rep = (F.xxhash64("doc_id", "text_hash") == F.col("tag")) & (apart == 0)
     repeated = not sets.where("n > 0").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()  # rows that agree in id and text
 
     counts = spark.sparkContext.broadcast(cells)
@@ -465,7 +467,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
 
     def whole(ids: DataFrame) -> DataFrame:
         """The whole sets of these classes."""
-        asked = table(ids.distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash"), "asked")
+        asked = table(ids.distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash", "tag"), "asked")
         found = docs.join(small(asked), is_rep).select("class", "text").mapInArrow(thrifty(_sets(n)), "class long, grams binary")
         return table(found.dropDuplicates(["class"]) if repeated else found, "whole")
 
