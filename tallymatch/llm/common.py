@@ -69,6 +69,17 @@ def sums_before(df: DataFrame, group: list[str], order: str, values: list[str],
     return inner.join(runs, on).select(*df.columns, *[(F.col(f"__base_{v}") + F.col(f"__in_{v}")).alias(f"before_{v}") for v in values])
 
 
+def summed(df: DataFrame, by: str, total: Callable[[pa.Table], pa.Table], rows: int = 256) -> DataFrame:
+    """df (a table with a row of fixed size for each task and value of by) with one row a value, by total, which turns rows into one.
+
+    In as many steps as the number of tasks asks for, so that no group that is gathered holds more than about rows rows.
+    """
+    while (most := df.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > rows:
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // rows)))
+        df = table(df.withColumn("__salt", salt).groupBy(by, "__salt").applyInArrow(lambda t: total(t.drop_columns("__salt")), df.schema), "sums")
+    return df.groupBy(by).applyInArrow(total, df.schema)
+
+
 def running_sums(df: DataFrame, group: list[str], key: Column, values: list[str], rows_per_bucket: int = 4096) -> DataFrame:
     """df with, for each of values, the column before_<value>: the sum over the rows that precede in the group.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, small, table, thrifty
+from .common import columns, partitions, small, summed, table, thrifty
 from .components import components
 from .shingles import mix, parts, shingle_sets
 
@@ -85,7 +85,7 @@ def _profile(n: int):
 def _sum_counts(t: pa.Table) -> pa.Table:
     total = np.zeros(CELLS // CHUNKS, np.uint64)
     for x in t.column("counts").to_pylist():
-        total += np.frombuffer(x, np.uint32)
+        total += np.frombuffer(x, np.uint32 if len(x) < total.nbytes else np.uint64)  # a task's counts, or sums of them
     return pa.table({"chunk": t.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
@@ -443,7 +443,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     profile = table(docs.mapInArrow(thrifty(_profile(n)), "doc_id long, text_hash long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
     cells = np.zeros(CELLS, np.uint64)
-    for chunk, counts in profile.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_counts, "chunk int, counts binary").collect():
+    for chunk, counts in summed(profile.where("chunk is not null").select("chunk", "counts"), "chunk", _sum_counts).collect():
         cells[chunk * (CELLS // CHUNKS) : (chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(counts, np.uint64)
     sets = profile.where("chunk is null").select("doc_id", "text_hash", "n", "k1", "k2")
     classes = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rep_hash"))
