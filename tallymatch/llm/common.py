@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,26 +10,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import forget
+from ..plans.tables import snapshot as table
+
 #: Rows of a few longs that a broadcast may hold (about 30 MB as a hash table); beyond it the same join shuffles.
 BROADCAST_ROWS = 250_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (a local run) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallymatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+class Scratch:
+    """Tables that nothing reads any more once the operator's result, or the table that it reads, is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(table(df, name))
+        return self.tables[-1]
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to shared storage and read it back: its lineage ends there, and a lost executor loses none of it."""
-    path = f"{shared_dir(df.sparkSession)}/tallymatch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def clear(self) -> None:
+        for df in self.tables:
+            forget(df)
+        self.tables = []
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, small, summed, table, thrifty
+from .common import Scratch, columns, partitions, small, summed, table, thrifty
 from .components import components
 from .shingles import mix, parts, shingle_sets
 
@@ -400,7 +400,7 @@ def _multiply(num: int, den: int):
     return run
 
 
-def _dealt(pairs: DataFrame, lows: DataFrame) -> DataFrame:
+def _dealt(pairs: DataFrame, lows: DataFrame, scratch: Scratch) -> DataFrame:
     """(blk, salt, doc, role): the rows of each block (the pairs' i; role 0), what it is multiplied with (their j; 2), and what is both (1).
 
     Rows whose sets have the same least hash go to one block, or to several of about ROWS rows; as near copies mostly agree in it,
@@ -412,9 +412,9 @@ def _dealt(pairs: DataFrame, lows: DataFrame) -> DataFrame:
     owners = owners.join(sizes, F.col("low") == F.col("of")).select("owner", F.pmod(F.xxhash64("low", F.pmod(F.xxhash64("owner"), F.col("cuts"))), F.lit(blocks)).cast("int").alias("blk"))
     pairs = pairs.join(owners, F.col("i") == F.col("owner")).select("blk", "i", "j")
     salts = pairs.groupBy(F.col("blk").alias("b")).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
-    pairs = pairs.join(small(table(salts, "salts")), F.col("blk") == F.col("b")).withColumn("salt", F.pmod(F.xxhash64("j"), F.col("salts")).cast("int"))
+    pairs = pairs.join(small(scratch.table(salts, "salts")), F.col("blk") == F.col("b")).withColumn("salt", F.pmod(F.xxhash64("j"), F.col("salts")).cast("int"))
     roles = pairs.select("blk", "salt", F.col("i").alias("doc"), F.lit(0).alias("role")).union(pairs.select("blk", "salt", "j", F.lit(2)))
-    return table(roles.groupBy("blk", "salt", "doc").agg(F.avg(F.col("role")).alias("role")).withColumn("role", F.when(F.col("role") == 0, 0).when(F.col("role") == 2, 2).otherwise(1)), "dealt")
+    return scratch.table(roles.groupBy("blk", "salt", "doc").agg(F.avg(F.col("role")).alias("role")).withColumn("role", F.when(F.col("role") == 0, 0).when(F.col("role") == 2, 2).otherwise(1)), "dealt")
 
 
 def _links(sets: DataFrame, dealt: DataFrame, num: int, den: int) -> DataFrame:
@@ -439,7 +439,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     """What jaccard_classes returns, with text_hash and component (a number of the component's own, null where a row links with
     nothing by its nature): components whose smallest doc_id is the same are told apart by it, and rows of one doc_id by text_hash."""
     num, den = threshold
-    spark = documents.sparkSession
+    spark, scratch = documents.sparkSession, Scratch()
     docs = columns(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     profile = table(docs.mapInArrow(thrifty(_profile(n)), "doc_id long, text_hash long, n long, k1 long, k2 long, chunk int, counts binary"), "profile")
     cells = np.zeros(CELLS, np.uint64)
@@ -457,21 +457,21 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
     counts = spark.sparkContext.broadcast(cells)
     prefix = docs.mapInArrow(thrifty(_prefixes(n, num, den, counts)), "doc_id long, text_hash long, grams array<long>, hot array<boolean>, parity binary, low long")
     prefix = prefix.join(small(reps), is_rep).select("class", "n_rep", "grams", "hot", "parity", "low")
-    prefix = table(prefix.dropDuplicates(["class"]) if repeated else prefix, "prefix")
+    prefix = scratch.table(prefix.dropDuplicates(["class"]) if repeated else prefix, "prefix")
     rows = prefix.select("class", F.col("n_rep").alias("n"), F.posexplode(F.arrays_zip("grams", "hot")).alias("pos", "g"))
     salt = F.when(F.col("g.hot"), F.pmod(F.xxhash64("class"), F.lit(partitions(spark)))).otherwise(0).cast("int")
     rows = rows.select(F.col("g.grams").alias("gram"), salt.alias("salt"), F.col("class").alias("doc"), "n", F.col("pos").cast("long").alias("pos"), F.col("g.hot").alias("hot"))
     rows = rows.repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt")
-    shared = table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
+    shared = scratch.table(rows.mapInArrow(thrifty(_drop_lone(num, den)), "gram long, salt int, doc long, n long, pos long, hot boolean, more boolean").drop("salt", "hot"), "columns")
     parity, lows = prefix.select(F.col("class").alias("id"), "parity"), prefix.select("class", "low")
 
     def whole(ids: DataFrame) -> DataFrame:
         """The whole sets of these classes."""
-        asked = table(ids.distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash", "tag"), "asked")
+        asked = scratch.table(ids.distinct().join(reps, F.col("id") == F.col("class")).select("class", "rep", "rep_hash", "tag"), "asked")
         found = docs.join(small(asked), is_rep).select("class", "text").mapInArrow(thrifty(_sets(n)), "class long, grams binary")
-        return table(found.dropDuplicates(["class"]) if repeated else found, "whole")
+        return scratch.table(found.dropDuplicates(["class"]) if repeated else found, "whole")
 
-    large = table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
+    large = scratch.table(shared.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc", "gram"), "doc")).alias("first")).where(F.col("size") > BLOCK), "large")
 
     def met(labels: DataFrame | None, pivots: int | None) -> DataFrame:
         """Pairs to verify. The rows of a large column are dealt to blocks; the one that all must meet visits every block: in the
@@ -482,24 +482,26 @@ def jaccard_groups(documents: DataFrame, n: int = 5, threshold: tuple[int, int]
             often = grams.join(small(large.select("__gram")), F.col("gram") == F.col("__gram"), "left_semi").groupBy("gram", "label").count()
             often = often.groupBy(F.col("gram").alias("__gram")).agg(F.max_by("label", F.struct("count", "label")).alias("key"), F.sum("count").alias("size"))
             hot = often
-        grams = grams.join(small(table(hot, "hot")), F.col("gram") == F.col("__gram"), "left")
+        grams = grams.join(small(scratch.table(hot, "hot")), F.col("gram") == F.col("__gram"), "left")
         blocks = F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
         visits = F.col("size").isNotNull() & ((F.col("doc") == F.col("key")) if labels is None else (F.col("label") != F.col("key")))
         grams = grams.withColumn("home", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
         grams = grams.withColumn("salt", F.explode(F.when(visits, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
         grams = grams.withColumn("away", F.col("salt") != F.col("home")).join(parity, F.col("doc") == F.col("id"))
         grams = grams.select("gram", "salt", "away", "doc", "label", "n", "pos", "parity").repartition(partitions(spark), "gram", "salt").sortWithinPartitions("gram", "salt", "away")
-        return table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
+        return scratch.table(grams.mapInArrow(thrifty(_candidates(num, den, pivots)), "i long, j long").distinct(), "pairs")
 
-    dealt = _dealt(met(None, PIVOTS), lows)
+    dealt = _dealt(met(None, PIVOTS), lows, scratch)
     rows = whole(dealt.select(F.col("doc").alias("id")))
-    links = table(_links(rows, dealt, num, den), "links")
-    labels = table(components(links), "labels")
-    dealt = _dealt(met(labels, None), lows)
+    links = scratch.table(_links(rows, dealt, num, den), "links")
+    labels = components(links)
+    scratch.tables.append(labels)
+    dealt = _dealt(met(labels, None), lows, scratch)
     rows = rows.union(whole(dealt.select(F.col("doc").alias("id")).join(rows, F.col("id") == F.col("class"), "left_anti")))
-    links = table(links.union(_links(rows, dealt, num, den)), "links")
-    labels = table(components(links), "labels").join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")
+    links = scratch.table(links.union(_links(rows, dealt, num, den)), "links")
+    labels = components(links).join(reps.select("class", "rep"), F.col("id") == F.col("class")).select("id", "component", "rep")
     least = table(labels.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "least")
+    scratch.clear()
     labels = labels.drop("rep").join(small(least), F.col("component") == F.col("of")).select("id", "component", "least")
     named = classes.join(labels, F.col("class") == F.col("id"), "left")
     named = named.select(F.col("n").alias("cn"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.coalesce("component", "class").alias("component"), F.coalesce("least", "rep").alias("least"))

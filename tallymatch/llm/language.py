@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed, table
+from .common import forget, summed, table
 from .shingles import parts
 
 #: Hashed dimensions; centroids of a language; sampled documents of a language and of all, at most.
@@ -126,7 +126,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(documents: DataFrame, learn: Column, sample: int = SAMPLE, sample_all: int = SAMPLE_ALL, centroids: int = CENTROIDS) -> Model:
     """Learn from the documents with a language where learn holds."""
     known = documents.where(learn & F.col("lang").isNotNull()).select("text", "lang", "doc_id")
-    stats = summed(table(known.select("text", "lang").mapInArrow(_frequencies, "lang string, docs long, df binary"), "frequencies"), "lang", _sum).collect()
+    counted = table(known.select("text", "lang").mapInArrow(_frequencies, "lang string, docs long, df binary"), "frequencies")
+    stats = summed(counted, "lang", _sum).collect()
+    forget(counted)
     docs = {r["lang"]: r["docs"] for r in stats}
     if not docs:
         return Model(np.zeros(DIMS), np.zeros((0, DIMS)), [])

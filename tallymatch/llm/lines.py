@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, table, thrifty
+from .common import forget, small, table, thrifty
 from .shingles import mix, parts
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -204,12 +204,14 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, br
     keys = frequent.count()
     shards = max(1, -(-keys // SHARD))
     arrays = table(frequent.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build_shard, _ARRAYS), "arrays")
+    forget(frequent)
 
     names = documents.columns
     where, doc_at = names.index("text"), names.index("doc_id")
     out = documents.withColumns({n: F.lit(0).cast("long") for n in added}).schema
     if keys <= broadcast_keys:
         held = spark.sparkContext.broadcast([tuple(r) for r in arrays.collect()])
+        forget(arrays)
         return documents.mapInArrow(thrifty(_clean(min_chars, min_docs, added, len(names), where, doc_at, held, shards)), out)
     marked = docs.withColumn("mark", F.xxhash64("text"))
     probes = marked.mapInArrow(thrifty(_lines(min_chars, True)), "hi long, lo long, doc long, mark long")

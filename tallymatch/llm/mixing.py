@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import columns, running_sums, small, sums_before, table
+from .common import columns, forget, running_sums, small, sums_before, table
 from .shingles import mix
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -145,7 +145,7 @@ def _taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """What mix_sources returns, and sid and source."""
     spark = documents.sparkSession
     docs = columns(documents, "doc_id", "source", "text")
-    sized = table(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
+    counted = sized = table(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size")), "sizes")
     totals = sorted(((r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sources = plan([t[0] for t in totals], [t[1] for t in totals], block, seed, weights, share, most)
     ids = spark.createDataFrame([(i, s.name, s.size, s.target) for i, s in enumerate(sources)], "sid int, name string, source_size long, target double")
@@ -153,6 +153,7 @@ def _taken(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     if not sum(s.slots for s in sources):
         return sized.select("sid", "source", "doc_id", "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     placed = table(running_sums(sized, ["sid"], F.struct("doc_id", "text_hash"), ["size"]), "placed")
+    forget(counted)
     parts = placed.where("size > 0").select("sid", F.col("before_size").alias("at"), F.col("size").alias("n"))
     parts = parts.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + n - 1) div {block})")))
     parts = parts.select("sid", "at", "block", F.greatest(F.col("at") - F.col("block") * block, F.lit(0)).alias("a"), F.least(F.col("at") + F.col("n") - F.col("block") * block, F.lit(block)).alias("b"))

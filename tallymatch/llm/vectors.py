@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small, table, thrifty
+from .common import Scratch, partitions, small, table, thrifty
 from .components import components
 
 #: Vectors to fit on, vectors of the largest label that a list should hold, lists, subspaces, codes of a subspace.
@@ -269,19 +269,19 @@ def _search(index, least: float, reach: float):
     return run
 
 
-def _divided(placed: DataFrame, cells: DataFrame, dims: int, radius: float) -> DataFrame:
+def _divided(placed: DataFrame, cells: DataFrame, dims: int, radius: float, scratch: Scratch) -> DataFrame:
     """placed with the long lists' rows (cells: grp, list, members, queries) in parts by centroids of the list's own."""
     spark = placed.sparkSession
     most = min(SAMPLE, SAMPLE_BYTES // (8 * dims))
     long = cells.where(F.col("members") > BLOCK).select(F.col("grp").alias("g"), F.col("list").alias("l"), "members", F.ceil((F.col("members") + F.col("queries")) / QUERIES).cast("int").alias("salts"), F.ceil(2 * F.col("members") / BLOCK).cast("int").alias("parts"))
-    long = table(long, "long")
+    long = scratch.table(long, "long")
     if long.isEmpty():
         return placed
     of = (F.col("grp") == F.col("g")) & (F.col("list") == F.col("l"))
     rows = placed.join(small(long), of)
     share = F.least(F.lit(float(most)), 16.0 * F.col("parts")) / F.col("members")
     picked = rows.where(~F.col("query") & (F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0 < share))
-    centres = table(picked.select("grp", "list", "rep", "parts", "raw").groupBy("grp", "list").applyInArrow(_divide(dims), "grp string, list int, centres binary"), "centres")
+    centres = scratch.table(picked.select("grp", "list", "rep", "parts", "raw").groupBy("grp", "list").applyInArrow(_divide(dims), "grp string, list int, centres binary"), "centres")
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in placed.schema if f.name not in ("grp", "list")]
     heads = centres.join(small(long), of).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("grp", "list", *nothing, "centres", "salt")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).join(small(centres.select(F.col("grp").alias("cg"), F.col("list").alias("cl"))), (F.col("grp") == F.col("cg")) & (F.col("list") == F.col("cl")))
@@ -289,7 +289,7 @@ def _divided(placed: DataFrame, cells: DataFrame, dims: int, radius: float) -> D
     rows = rows.repartition(partitions(spark), "grp", "list", "salt").sortWithinPartitions("grp", "list", "salt", F.col("centres").isNull())
     parts = rows.mapInArrow(thrifty(_replace(dims, radius)), _CELL_DDL)
     rest = placed.join(small(centres.select(F.col("grp").alias("cg"), F.col("list").alias("cl"))), (F.col("grp") == F.col("cg")) & (F.col("list") == F.col("cl")), "left_anti")
-    return table(rest.unionByName(parts), "divided")
+    return scratch.table(rest.unionByName(parts), "divided")
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPLE) -> DataFrame:
@@ -301,7 +301,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPL
     link. Rows that repeat a vec_id count as vectors of their own. A row with a null vec_id links like any other but is never kept
     and names no component: one of null ids alone has a null component_id. An empty table gives no rows. Other columns are ignored.
     """
-    spark = embeddings.sparkSession
+    spark, scratch = embeddings.sparkSession, Scratch()
     vec = F.col("vec")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     good = F.col("label").isNotNull() & vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
@@ -323,20 +323,21 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, sample: int = SAMPL
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9)
     reach = radius / 2
 
-    placed = table(classes.select("grp", "rep", "n", "raw").mapInArrow(thrifty(_place(index, reach)), _CELL_DDL), "placed")
+    placed = scratch.table(classes.select("grp", "rep", "n", "raw").mapInArrow(thrifty(_place(index, reach)), _CELL_DDL), "placed")
     count = lambda df, *by: df.groupBy(*by).agg(F.count(F.when(~F.col("query"), 1)).alias("members"), F.count(F.when(F.col("query"), 1)).alias("queries")).where("members > 0")
-    placed = _divided(placed, count(placed, "grp", "list"), dims, radius)
+    placed = _divided(placed, count(placed, "grp", "list"), dims, radius, scratch)
     sizes = count(placed, "grp", "list", "sub").select(F.col("grp").alias("g"), F.col("list").alias("l"), F.col("sub").alias("s"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blks"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("salts"))
-    cells = placed.join(small(table(sizes, "sizes")), (F.col("grp") == F.col("g")) & (F.col("list") == F.col("l")) & (F.col("sub") == F.col("s")))
+    cells = placed.join(small(scratch.table(sizes, "sizes")), (F.col("grp") == F.col("g")) & (F.col("list") == F.col("l")) & (F.col("sub") == F.col("s")))
     dealt = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("salts")).otherwise(F.col("blks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("blks")).otherwise(F.greatest("salts", F.lit(1))) - 1))
     cells = cells.withColumns({"own": dealt, "other": other}).withColumns({"blk": F.when(F.col("query"), F.col("other")).otherwise(F.col("own")), "salt": F.when(F.col("query"), F.col("own")).otherwise(F.col("other"))})
     by = ["grp", "list", "sub", "blk", "salt"]
     cells = cells.select(*by, "query", "rep", "n", "home", "raw", "codes", "error").repartition(partitions(spark), *by).sortWithinPartitions(*by, "query")
     found = table(cells.mapInArrow(thrifty(_search(index, least, reach)), "kind int, a long, b long"), "found")
+    scratch.clear()
 
     links = found.where("kind = 0").groupBy(F.col("a").alias("linked")).agg(F.sum("b").alias("more"))
-    labels = table(components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "labels")
+    labels = components(found.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = labels.join(classes.select("rep", F.col("least").alias("low")), F.col("id") == F.col("rep")).groupBy(F.col("component").alias("of")).agg(F.min("low").alias("first"))
     labels = labels.join(small(table(named, "named")), F.col("component") == F.col("of")).select("id", "component", "first")
     known = classes.select("k1", "k2", "rep", "n", "least").join(links, F.col("rep") == F.col("linked"), "left").join(labels, F.col("rep") == F.col("id"), "left")
