@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ WIDE = 16
 BLOCK, VISITORS, HOT = 4096, 8192, 4
 #: Pivots of a row block, pairs that one task takes for a block, and cells and increments of a product that are held at a time.
 ROWS, PAIRS, CELLS_AT_ONCE = 128, 8192, 1 << 21
+#: Bytes of parity bitmaps that are unpacked at a time.
+PARITY_BYTES = 1 << 22
 
 _U = np.uint64
 
@@ -178,6 +181,15 @@ def _drop_lone(num: int, den: int):
     return run
 
 
+def _in_parts(t: pa.Table, starts: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole columns in runs of about PARITY_BYTES of bitmaps (one column at least): long texts have wide bitmaps in each of many rows."""
+    ends = np.r_[starts[1:], t.num_rows]
+    upto = np.cumsum(pc.binary_length(t.column("parity")).to_numpy().astype(np.int64))[ends - 1]
+    cuts = (np.flatnonzero(np.diff((upto - 1) // PARITY_BYTES)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(starts)], strict=True):
+        yield t.slice(int(starts[a]), int(ends[b - 1] - starts[a])), starts[a:b] - starts[a], ends[a:b] - starts[a]
+
+
 def _by_column(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Columns from rows sorted by gram, salt and away: whole ones, or of one with many visitors its own rows with some of them at a time."""
     held = None
@@ -189,7 +201,7 @@ def _by_column(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         starts = _starts(t)
         cut = int(starts[-1])
         if cut:
-            yield t.slice(0, cut), starts[:-1], starts[1:]
+            yield from _in_parts(t.slice(0, cut), starts[:-1])
         held = t.slice(cut)
         away = int(held.column("away").to_numpy().sum())
         if away > VISITORS:
