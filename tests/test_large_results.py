@@ -5,7 +5,7 @@ import collections
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from tallymatch import GreaterOrEqual, Include, RuleSchema
+from tallymatch import GreaterOrEqual, Include, RankedIndex, RuleSchema
 from tallymatch import queries as Q
 from tallymatch.operators import index as index_module
 
@@ -54,3 +54,24 @@ def test_probes_that_differ_are_not_gathered(spark, monkeypatch):
     found = index.match(spark.range(100).selectExpr("id", "id AS v"))
     assert "__probes" not in found._jdf.queryExecution().analyzed().toString()
     assert found.count() == sum(min(20, i + 1) for i in range(100))
+
+
+def test_ranked_probes_are_matched_by_kind(spark):
+    """The join with the rows' IDs meets reduced pairs, and few of them where probes read alike; a key may stand for several probes."""
+    rows = [(i, i % 7, None if i % 5 == 0 else i % 3, (i * 37) % 11) for i in range(60)]
+    ranked = RankedIndex(Include("v"), spark.createDataFrame(rows, "pos long, rule_id long, v long, rank long"), rank_col="rank")
+    probes = [(i % 500, None if i % 11 == 0 else i % 4) for i in range(2000)]
+    df = spark.createDataFrame(probes, "k long, v long")
+    order = sorted(rows, key=lambda r: (-r[3], r[0]))
+    want = {}
+    for k, v in probes:
+        for place, r in enumerate(order):
+            if r[2] is None or r[2] == v:
+                want[k, r[1]] = min(place, want.get((k, r[1]), place))
+    found = ranked.match(df, "k")
+    assert {(r["k"], r["rule_id"]): r["rank_ord"] for r in found.collect()} == want and found.count() == len(want)
+    best = {}
+    for (k, i), place in want.items():
+        best[k] = min((place, i), best.get(k, (place, i)))
+    assert {r["k"]: (r["rank_ord"], r["rule_id"]) for r in ranked.match(df, "k", first=True).collect()} == best
+    assert ranked.match(df, "k", first=True)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
