@@ -1,8 +1,12 @@
 """Matching by bitmaps: the same results as the SQL's and the join's, for values of all kinds and across batches and tiles."""
 
 import collections
+import itertools
+import types
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallymatch import All, Between, CompareBy, Exclude, Greater, GreaterOrEqual, Include, Less, LessOrEqual, RuleSchema
@@ -85,3 +89,35 @@ def test_named_columns_alone(spark, small):
     assert by_bitmaps(index.match(probes, columns=["k"]))
     assert counted(index.match(probes, columns=["k"])) == counted(index.match(probes).select("k", "rule_id", "rule_ord"))
     assert counted(index.match(probes.where(F.col("k") < 0))) == collections.Counter()
+
+
+def runs_of(batches) -> list[tuple[int, tuple]]:
+    """IDs and the probes that follow each other for them, as results come."""
+    rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    return [(k, tuple(r[0] for r in g)) for k, g in itertools.groupby(rows, key=lambda r: r[1])]
+
+
+@pytest.mark.parametrize("op", [">="])
+def test_orders_come_in_runs_of_the_same_probes(op):
+    """Values in no order: nearly all results are in runs of 256 or 64 probes, and few such runs repeat for many IDs."""
+    values = np.random.default_rng(1).permutation(4096).astype(float)
+    ends = np.arange(0, 4096, 41).astype(float)
+    table = {"ids": pa.array(np.arange(len(ends))), "ords": pa.array(np.arange(len(ends))), "few": [], "many": [(op, ends, np.ones(len(ends), bool))]}
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 512)), pa.array(values[a : a + 512])], names=["c0", "c1"]) for a in range(0, 4096, 512)]
+    shared = [types.SimpleNamespace(value=table)]
+    found = runs_of(tiles._matches(shared, 1, tiles.BATCH, tiles.TILE, tiles.ROWS, tiles.WHOLE)(iter(batches)))
+    want = {(i, p) for i, e in enumerate(ends) for p in np.flatnonzero(values >= e if op == ">=" else values <= e)}
+    got = [(i, p) for i, run in found for p in run]
+    assert len(got) == len(want) and set(got) == want
+    long = [run for _, run in found if len(run) % 64 == 0]
+    assert sum(map(len, long)) > 0.95 * len(got) and len(set(long)) < len(long) / 5
+
+
+def test_probes_of_short_kinds_go_by_bitmaps(spark, monkeypatch):
+    """Probes that read alike, but in the mean not enough of them to fill a row."""
+    for name in ("PAIRS", "ALIKE"):
+        monkeypatch.setattr(index_module, name, 1)
+    rules = spark.range(50).selectExpr("id AS pos", "id AS rule_id", "IF(id % 2 = 0, id % 3, NULL) AS v")
+    probes = spark.range(900).selectExpr("id AS k", "IF(id % 10 > 0, id % 4, NULL) AS v")
+    found, plain = both(RuleSchema(Exclude("v")).build(rules), probes, monkeypatch)
+    assert found == plain and len(found) > 1000
