@@ -97,7 +97,7 @@ def runs_of(batches) -> list[tuple[int, tuple]]:
     return [(k, tuple(r[0] for r in g)) for k, g in itertools.groupby(rows, key=lambda r: r[1])]
 
 
-@pytest.mark.parametrize("op", [">="])
+@pytest.mark.parametrize("op", [">=", "<="])
 def test_orders_come_in_runs_of_the_same_probes(op):
     """Values in no order: nearly all results are in runs of 256 or 64 probes, and few such runs repeat for many IDs."""
     values = np.random.default_rng(1).permutation(4096).astype(float)
