@@ -113,11 +113,13 @@ def test_orders_come_in_runs_of_the_same_probes(op):
     assert sum(map(len, long)) > 0.95 * len(got) and len(set(long)) < len(long) / 5
 
 
-def test_ids_of_several_broadcasts(spark, small, monkeypatch):
+@pytest.mark.parametrize("nested", [False, True])
+def test_ids_of_several_broadcasts(spark, small, monkeypatch, nested):
     """More IDs than one broadcast may hold are met a broadcast at a time; beyond BLOCKS of them probes are joined."""
     rules = spark.range(300).selectExpr("id AS pos", "id AS rule_id", "IF(id % 4 > 0, concat('s', id % 5), NULL) AS s", "IF(id % 7 > 0, id * 31 % 199, NULL) AS low")
     probes = spark.range(400).selectExpr("id AS k", "concat('s', id % 6) AS s", "CAST(id * 7 % 311 AS INT) AS low")
-    index = RuleSchema(All(Include("s"), GreaterOrEqual("low"))).build(rules)
+    leaf = GreaterOrEqual("low")
+    index = RuleSchema(All(Include("s"), All(All(leaf)) if nested else leaf)).build(rules)
     monkeypatch.setattr(tiles, "BROADCAST_ROWS", 70)
     with monkeypatch.context() as m:
         found, plain = both(index, probes, m)
